@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  slices() uses pa.compute
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are maximal runs without ASCII white space; ``bytes.split()`` splits on exactly \x20 \x09-\x0D.
