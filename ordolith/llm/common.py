@@ -148,3 +148,75 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 
 
 UPPER = re.compile(r"[A-Z]")
+
+
+def map_groups(df: DataFrame, key: str, f: Callable, schema: str) -> DataFrame:
+    """Rows of equal ``key`` (a bigint) go to ``f(key, columns)``, columns as lists without the key; f gives rows.
+
+    For groups whose size is bounded by what made them. One shuffle by key, a spilling sort, and runs of equal keys read
+    in Arrow batches: many small groups cost no call into pandas each.
+    """
+    out = arrow_schema(df.sparkSession, schema)
+    names = [key, *(c for c in df.columns if c != key)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held = None, [[] for _ in names[1:]]
+        rows: list = []
+
+        def flush():
+            batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out)
+            rows.clear()
+            return batch
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            cols = [c.to_pylist() for c in batch.columns[1:]]
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi == lo:
+                    continue
+                if held_key is not None and keys[lo] != held_key:
+                    rows += f(held_key, held)
+                    held = [[] for _ in names[1:]]
+                held_key = int(keys[lo])
+                for h, c in zip(held, cols):
+                    h += c[lo:hi]
+                if len(rows) > 50_000:
+                    yield flush()
+        if held_key is not None:
+            rows += f(held_key, held)
+        if rows:
+            yield flush()
+
+    return df.select(*names).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that links ``a``-``b`` reach, for every id in a link.
+
+    Alternating large-star and small-star steps; each round is written to the shared folder, so lineage stays short. A
+    round's aggregates combine before the shuffle, and its joins may be split where one id has very many links.
+    """
+    spark = edges.sparkSession
+    links = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "links")
+
+    def star(links: DataFrame, large: bool) -> DataFrame:
+        both = links.union(links.select(F.col("b"), F.col("a"))) if large else links
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        met = both.join(least, both["a"] == least["u"])
+        if large:  # larger neighbours of u go to the least of its neighbourhood
+            return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        return met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least.select("u", "m")).distinct()
+
+    def print_of(df: DataFrame):
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    before = print_of(links)
+    while before[0]:
+        after_large = stored(star(links, True), "links")
+        links = stored(star(after_large, False), "links")
+        now = print_of(links)
+        if now == before:
+            break
+        before = now
+    return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, quality, tokenids
+from . import decontaminate, langid, lm, neardup, packing, quality, secrets, tokenids, warc
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_language_id": langid.op2_language_id,
+    "op3_lm_scoring": lm.op3_lm_scoring,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op7_near_duplicates": neardup.op7_near_duplicates,
+    "op8_warc": warc.op8_warc,
     "op9_token_files": tokenids.op9_token_files,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_secret_scan": secrets.oracle_sql()}
