@@ -11,6 +11,7 @@ they occur. An empty table gives no shards. Columns other than id and text are n
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,6 +33,40 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Letters that composition leaves alone and that have one lower-case letter each, then marks: two pieces to either tokenizer.
+LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+
+
+def byte_characters() -> list[str]:
+    """The printable character that byte-level tokenizers write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+class Pieces:
+    """Ids of text without inner white space. Letters and marks skip the tokenizer's normaliser and splitter, whose
+    outcome is known for them, and go to its merging model; anything else is encoded by the tokenizer."""
+
+    def __init__(self, path: str, code: str, lower: bool):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        model, chars = tok.model, byte_characters()
+        self.whole = lambda s: array(code, tok.encode(s, add_special_tokens=False).ids).tobytes()
+        mapped = lambda s: "".join([chars[b] for b in s.encode()])
+        self.memo = Memo(lambda s: array(code, [t.id for t in model.tokenize(s if s.isascii() and s[0] != " " else mapped(s))]).tobytes())
+        self.lower = lower
+
+    def __call__(self, word: str, space: str = "") -> bytes:
+        m = LETTERS_MARKS.fullmatch(word)
+        if not m:
+            return self.whole(space + word)
+        letters, marks = m.groups()
+        ids = self.memo[space + (letters.lower() if self.lower else letters)]
+        return ids + self.memo[marks] if marks else ids
+
+
 class WordEncoder:
     """Ids of texts under a tokenizer that drops white space: the concatenation of the ids of the text's words.
 
@@ -40,10 +75,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, code: str):
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        self.memo = Memo(lambda w: array(code, tok.encode(w.decode(), add_special_tokens=False).ids).tobytes())
+        pieces = Pieces(path, code, lower=True)
+        self.memo = Memo(lambda w: pieces(w.decode()), 500_000)
         self.end = array(code, [END]).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
