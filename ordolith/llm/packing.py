@@ -16,7 +16,6 @@ table gives no rows. Columns other than id and text are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections import Counter
@@ -29,11 +28,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, arrow_schema, slices, stored, table
-from .tokenids import END, tokenizer_path
+from .tokenids import END, Pieces, tokenizer_path
 
 BYTES_FILE = "byte_bpe_50k.json"
-#: Any white space but single spaces and line ends inside the text, or runs of those: such texts are encoded whole.
-UNSAFE = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
 
 
 class ByteEncoder:
@@ -41,21 +38,20 @@ class ByteEncoder:
 
     The tokenizer's splitting rule always starts a new piece at a single space or line end that stands between
     two other characters, so such texts are split there and each word (with its leading space) is encoded once.
-    Texts with other white space, or with what may be a special token, go to the tokenizer whole.
+    Texts with other white space (they then have fewer or more words than single spaces and line ends would part),
+    or with what may be a special token, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        self.whole = lambda s: array("I", tok.encode(s, add_special_tokens=False).ids).tobytes()
-        self.first, self.inner = Memo(self.whole, 60_000), Memo(lambda w: self.whole(" " + w), 200_000)
+        pieces = Pieces(path, "I", lower=False)
+        self.whole = pieces.whole
+        self.first, self.inner = Memo(pieces, 100_000), Memo(lambda w: pieces(w, " "), 500_000)
         self.newline, self.end = self.whole("\n"), array("I", [END]).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if "<|" in text or UNSAFE.search(text):
+        if "<|" in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
             return self.whole(text) + self.end
         parts, inner = [], self.inner.__getitem__
         for line in text.split("\n"):
