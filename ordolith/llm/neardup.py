@@ -4,8 +4,9 @@
 2. Trees branch nodes by chosen minwise tokens: first on ``depth`` of them at once, then large branches again, each
    into several children, until they are small. Independent trees repeat this until a pair at the threshold is
    missed with probability ``miss`` at most. Small branches are compared exhaustively by their tokens, with a margin
-   of five standard deviations below the threshold. In large ones every document is compared with a few pivots,
-   and leaves the recursion if it is so near to one that all its partners must have met that pivot as well.
+   of five standard deviations below the threshold. In large ones every document is compared with a few pivots.
+   Documents near the main pivots are in one cluster and needn't meet each other; only what lies apart goes on, with
+   those that are not so near to a main pivot that all their partners must have met it as well.
 3. What has met forms clusters. A cluster reads the whole texts of its nodes once, and links are confirmed on full
    sets: counts of one document against all others at a time, for all documents outside the largest component, so
    that no pair of different components stays uncompared, and copies aren't expanded into pairs. Clusters beyond a
@@ -87,14 +88,15 @@ def sketch(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
     return docs.mapInArrow(run, SKETCH)
 
 
-def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float, similarity: float) -> np.ndarray:
-    """Matrix: whether rows of a and b may be similar, by tokens and by set sizes. Compared in blocks."""
+def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float, similarity: float, estimates: bool = False):
+    """Matrix: whether rows of a and b may be similar, by tokens and by set sizes (and the estimates). Compared in blocks."""
     same = np.empty((len(a), len(b)), np.int16)
     for lo in range(0, len(a), 32):
         same[lo : lo + 32] = (a[lo : lo + 32, None, :] == b[None, :, :]).sum(-1, dtype=np.int16)
     est = (same / TOKENS - 1 / 256) / (1 - 1 / 256)
     ratio = np.minimum(na[:, None], nb[None]) / np.maximum(na[:, None], nb[None])
-    return (est >= least) & (ratio >= similarity - 1e-9)
+    near = (est >= least) & (ratio >= similarity - 1e-9)
+    return (near, est) if estimates else near
 
 
 class Union:
@@ -114,6 +116,17 @@ class Union:
         self.up[max(i, j)] = min(i, j)
 
 
+def linked(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the least member of its component."""
+    lab = np.arange(len(near))
+    while True:
+        new = np.minimum(lab, np.where(near, lab[None, :], len(near)).min(1, initial=len(near)))
+        new = new[new]
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
 def tokens_of(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), TOKENS)
 
@@ -126,17 +139,14 @@ def meet_all(least: float, similarity: float):
         if len(ids) < 2:
             return []
         s, n = tokens_of(sigs), np.array(n, float)
-        near, u = close(s, s, n, n, least, similarity), Union(len(ids))
-        for i, j in zip(*np.nonzero(np.triu(near, 1))):
-            u.join(int(i), int(j))
-        return [(ids[i], ids[u.find(i)]) for i in range(len(ids)) if u.find(i) != i]
+        root = linked(close(s, s, n, n, least, similarity))
+        return [(ids[i], ids[r]) for i, r in enumerate(root.tolist()) if r != i]
 
     return f
 
 
-def candidates(reps: DataFrame, similarity: float, *, small: int = 64, pivots: int = 8, children: int = 3, levels: int = 24) -> DataFrame:
+def candidates(reps: DataFrame, similarity: float, *, small: int = 512, pivots: int = 8, children: int = 3, levels: int = 24) -> DataFrame:
     """Links (a, b) between nodes (id, n, sig, nodes) that may be similar; reps must be a stored frame."""
-    spark = reps.sparkSession
     sigma = math.sqrt(similarity * (1 - similarity) / TOKENS)
     least = similarity - 5 * sigma
     links = "a bigint, b bigint"
@@ -145,12 +155,12 @@ def candidates(reps: DataFrame, similarity: float, *, small: int = 64, pivots: i
     found: list[DataFrame] = []
     for level in range(levels + 1):
         sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        members = stored(members.join(sizes, "node"), "branches").join(plain, "id")
-        few, many = members.where(F.col("size") <= small), members.where(F.col("size") > small)
+        members = stored(members.join(sizes, "node"), "branches")
+        few, many = members.where(F.col("size") <= small).join(plain, "id"), members.where(F.col("size") > small)
         found.append(stored(map_groups(few.select("node", "id", "n", "sig"), "node", meet_all(least, similarity), links).distinct(), "met"))
         if not many.limit(1).count():
             break
-        many = stored(many, "large-branches")
+        many = stored(many.join(plain, "id"), "large-branches")
         if level == levels:  # what has not split by now is compared block by block
             found.append(in_blocks(many, small, meet_all(least, similarity), links))
             break
@@ -158,10 +168,15 @@ def candidates(reps: DataFrame, similarity: float, *, small: int = 64, pivots: i
         h = F.xxhash64("id", "node")
         chosen = many.groupBy("node", F.pmod(h, F.lit(pivots)).alias("p")).agg(F.min_by(F.struct("id", "n", "sig"), h).alias("x")).groupBy("node").agg(F.collect_list("x").alias("pivots"))
         met = stored(against_pivots(many.join(chosen, "node"), least, similarity), "met")
-        found.append(met.where("b is not null").select("a", "b").distinct())
-        rest = met.where("not settled").select(F.col("a").alias("id"), "node", "sig").distinct()
+        found.append(met.select("a", F.explode("bs").alias("b")).distinct())
+        # what is near the branch's main pivots has met; what isn't has to meet all that isn't settled
+        apart = met.where("not main").groupBy("node").agg(F.count("*").alias("apart"))
+        rest = stored(met.where("not settled").join(apart, "node").select(F.col("a").alias("id"), "node", "n", "sig", "main", "apart"), "unsettled")
+        last = rest.where(F.col("apart") <= small)
+        others = last.where("not main").groupBy("node").agg(F.collect_list(F.struct("id", "n", "sig")).alias("pivots"))
+        found.append(stored(against_pivots(last.join(others, "node"), least, similarity).select("a", F.explode("bs").alias("b")).distinct(), "met"))
         branch = children if level < 2 else 1
-        child = rest.select("id", "node", "sig", F.explode(F.sequence(F.lit(0), F.lit(branch - 1))).alias("j"))
+        child = rest.where(F.col("apart") > small).select("id", "node", "sig", F.explode(F.sequence(F.lit(0), F.lit(branch - 1))).alias("j"))
         place = F.pmod(F.xxhash64("node", F.lit(level), "j"), F.lit(TOKENS)).cast("int") + 1
         members = child.select("id", F.xxhash64("node", "j", F.lit(level), F.col("sig").substr(place, F.lit(1))).alias("node"))
     out = found[0]
@@ -171,29 +186,43 @@ def candidates(reps: DataFrame, similarity: float, *, small: int = 64, pivots: i
 
 
 def against_pivots(rows: DataFrame, least: float, similarity: float) -> DataFrame:
-    """Each member of a large branch and the pivots that it may be similar to.
+    """Each member of a large branch and, as ``bs``, one pivot of each group of linked pivots that it may be similar to.
 
-    settled: it is so near to a pivot that whatever may be linked with it is near that pivot as well (distances
-    add up at most), so both are in the pivot's cluster.
+    main: it may be similar to one of the branch's main pivots, the largest group of pivots that are linked with each
+    other, so all main members are in one cluster. settled: it is so near to a main pivot that whatever may be linked
+    with it is near that pivot as well (distances add up at most), so both are in the pivot's cluster.
     """
-    schema = "a bigint, b bigint, node bigint, sig binary, settled boolean"
+    schema = "a bigint, node bigint, n bigint, sig binary, bs array<bigint>, main boolean, settled boolean"
     out = arrow_schema(rows.sparkSession, schema)
     sure = min(1.0, least + (1 - similarity) + 0.12)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}  # pivots of the branches of this task's last batches
         for batch in batches:
-            got = []
-            for i, node, n, sig, pivots in zip(*(c.to_pylist() for c in batch.columns)):
-                p, np_ = tokens_of([x["sig"] for x in pivots]), np.array([x["n"] for x in pivots], float)
-                s = tokens_of([sig])
-                near = close(s, p, np.array([n], float), np_, least, similarity)[0]
-                est = (s[0] == p).mean(1)
-                settled = bool((near & (est >= sure)).any())
-                got += [(i, pivots[j]["id"], node, sig, settled) for j in np.flatnonzero(near).tolist() if pivots[j]["id"] != i] or [(i, None, node, sig, settled)]
-            if got:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got), out.types)], schema=out)
-
-    return rows.select("id", "node", "n", "sig", "pivots").mapInArrow(run, schema)
+            ids, nodes, n = (batch.column(i).to_numpy() for i in range(3))
+            sig = tokens_of(batch.column(3).to_pylist())
+            which, first, of = np.unique(nodes, return_index=True, return_inverse=True)
+            main, settled, bs = np.zeros(len(ids), bool), np.zeros(len(ids), bool), np.empty(len(ids), object)
+            seen = {node: seen[node] for node in which.tolist() if node in seen}
+            for k, node in enumerate(which.tolist()):
+                if node not in seen:
+                    x = batch.column(4)[int(first[k])].as_py()
+                    x.sort(key=lambda v: v["id"])
+                    p, size = tokens_of([v["sig"] for v in x]), np.array([v["n"] for v in x], float)
+                    root = linked(close(p, p, size, size, least, similarity))
+                    seen[node] = np.array([v["id"] for v in x]), p, size, root, root == np.bincount(root).argmax()
+                names, p, size, root, is_main = seen[node]
+                rows = np.flatnonzero(of == k)
+                for lo in range(0, len(rows), 1024):
+                    at = rows[lo : lo + 1024]
+                    near, est = close(sig[at], p, n[at].astype(float), size, least, similarity, True)
+                    main[at] = (near & is_main).any(1)
+                    settled[at] = (near & is_main & (est >= sure)).any(1)
+                    for i, hit in zip(at.tolist(), near):
+                        bs[i] = [b for b in names[np.unique(root[hit])].tolist() if b != ids[i]]
+            yield pa.record_batch([*batch.columns[:4], pa.array(bs.tolist(), out.types[4]), pa.array(main), pa.array(settled)], schema=out)
+
+    return rows.select(F.col("id").alias("a"), "node", "n", "sig", "pivots").mapInArrow(run, schema)
 
 
 def in_blocks(many: DataFrame, small: int, f, schema: str) -> DataFrame:
@@ -277,7 +306,8 @@ def confirmed(clusters: DataFrame, texts: DataFrame, k: int, percent: int, most:
     weight = clusters.groupBy("cluster").agg(F.sum("n").alias("weight"))
     sized = stored(clusters.join(weight, "cluster"), "clusters")
     spark = clusters.sparkSession
-    with_text = lambda df: df.join(texts, df["id"] == texts["doc_id"]).drop("doc_id")
+    # a merge join at every size: the ids grow with the input, and one shuffle of texts is what it costs
+    with_text = lambda df: df.join(texts.hint("merge"), df["id"] == texts["doc_id"]).drop("doc_id")
     whole = sized.where(F.col("weight") <= most).select(F.col("cluster").alias("cell"), "id", "cls", F.lit(0).alias("todo"))
     large = sized.where(F.col("weight") > most)
     if not large.limit(1).count():
