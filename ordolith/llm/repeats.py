@@ -10,8 +10,9 @@ earlier start). Strings are judged on the input.
 2. Runs with equal bytes repeat the earliest of them. Only anchors with different runs need their bytes: these are
    read into shards by anchor, and a shard gets a suffix array (Larsson-Sadakane refinement of ranks), common prefixes
    of neighbours (Kasai), and from these its equal windows; all but the earliest are repeats.
-3. An anchor with very many different runs is spread over several shards. Those meet by binary search: each shard
-   cuts its sorted windows at common splitters, and the slices of all shards between two splitters are merged.
+3. An anchor with very many different runs is spread over several shards. Those meet by binary search: each shard sorts
+   the 128-bit hashes of its windows and cuts them at common splitters, evenly spaced, and the slices of all shards
+   between two splitters are merged. A slice of a shard is one packed row.
 
 Nulls: a null text has no bytes; a null id comes before all others. Texts under one id are documents of their own, in
 the order of a hash of the text; rows that repeat id and text are one document and get the same result. An empty
@@ -21,7 +22,6 @@ table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,10 +187,10 @@ def judged(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "c", "doc", "tie", "b").mapInArrow(run, FOUND)
 
 
-def suffix_ranks(x: np.ndarray, until: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of bytes x by Larsson-Sadakane refinement, sorted by ``until`` bytes at least, and ranks.
+def suffix_ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of bytes x by Larsson-Sadakane refinement, and ranks.
 
-    Ranks of 8-byte prefixes come from one sort of packed words. Then groups of equal rank, and only those, are sorted
+    Suffixes are sorted to their ends: Kasai's step holds only in a full order. Ranks of 8-byte prefixes come from one sort of packed words. Then groups of equal rank, and only those, are sorted
     by the rank that stands as far ahead as the sorted prefix is long, which doubles it.
     """
     n = len(x)
@@ -207,7 +207,7 @@ def suffix_ranks(x: np.ndarray, until: int) -> tuple[np.ndarray, np.ndarray]:
     alone = head & np.r_[head[1:], True]
     todo = np.flatnonzero(~alone)  # places in sa that lie in unsorted groups
     h = 8
-    while h < until and len(todo):
+    while len(todo):
         i = sa[todo]
         ahead = rank[np.minimum(i.astype(np.int64) + h, n)].astype(np.int64) + 1
         own = rank[i].astype(np.int64)
@@ -254,23 +254,23 @@ def common_prefixes(x: np.ndarray, sa: np.ndarray, lanes: np.ndarray, length: np
     return out[sa]
 
 
-def shard_repeats(owner: list[tuple[int, int]], at: list[int], texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """Windows of a shard's runs: (text, start in text, whether an equal window is earlier), and a text's window bytes."""
+def shard_repeats(owner: list[tuple[int, int]], at: list[int], texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a shard's runs: text, start in text, whether an equal window is earlier."""
     length = np.array([len(t) for t in texts], np.int64)
     first = np.r_[0, np.cumsum(length + 1)[:-1]]
     x = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    sa, _ = suffix_ranks(x, width)
+    sa, _ = suffix_ranks(x)
     lcp = common_prefixes(x, sa, first, length, width)
     lane = np.searchsorted(first, sa, side="right") - 1
     offset = sa - first[lane]
     whole = offset + width <= length[lane]
     group = np.cumsum(lcp < width)  # equal windows are neighbours
-    sa, lane, offset, group = sa[whole], lane[whole], offset[whole], group[whole]
+    lane, offset, group = lane[whole], offset[whole], group[whole]
     doc, tie = (np.array(v, np.int64) for v in zip(*owner))
     start = np.array(at, np.int64)[lane] + offset
     order = np.lexsort((start, tie[lane], doc[lane], group))
     group = group[order]
-    return lane[order], offset[order], np.r_[False, group[1:] == group[:-1]], sa[order]
+    return lane[order], offset[order], np.r_[False, group[1:] == group[:-1]]
 
 
 REPEATS = "doc bigint, tie bigint, b int, e int"
@@ -291,14 +291,15 @@ def run_repeats(found: DataFrame, docs: DataFrame, width: int, shard_bytes: int)
     spark = found.sparkSession
     many = found.where("not repeat")
     by_anchor = many.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("e") - F.col("b") + width).alias("bytes"))
-    total = by_anchor.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
     most = max(1, shard_bytes // (2 * (2 * width)))  # runs of one anchor in one shard
+    total, hot_windows = by_anchor.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n") > most, F.col("bytes") - F.col("n") * (width - 1))), F.lit(0))).first()
+    shards = max(1, -(-total // shard_bytes))
+    splitters = evenly(max(1, -(-hot_windows // (shard_bytes // PACKED.itemsize))))
     hot = by_anchor.where(F.col("n") > most).select("h", F.ceil(F.col("n") / most).cast("bigint").alias("k"))
     spread = many.join(hot, "h", "left").withColumn("salt", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "tie", "b"), F.col("k"))))
-    spread = spread.select("doc", "tie", "b", "e", F.col("k").isNotNull().alias("hot"), "h", F.pmod(F.xxhash64("h", "salt"), F.lit(shards)).alias("shard"))
-    wanted = spread.groupBy("doc", "tie").agg(F.collect_list(F.struct("b", "e", "hot", "h", "shard")).alias("runs"))
-    cut_schema = "shard bigint, doc bigint, tie bigint, b int, hot boolean, h bigint, bytes binary"
+    spread = spread.select("doc", "tie", "b", "e", F.col("k").isNotNull().alias("hot"), F.pmod(F.xxhash64("h", "salt"), F.lit(shards)).alias("shard"))
+    wanted = spread.groupBy("doc", "tie").agg(F.collect_list(F.struct("b", "e", "hot", "shard")).alias("runs"))
+    cut_schema = "shard bigint, doc bigint, tie bigint, b int, hot boolean, bytes binary"
     cut_out = arrow_schema(spark, cut_schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,57 +308,63 @@ def run_repeats(found: DataFrame, docs: DataFrame, width: int, shard_bytes: int)
                 rows = []
                 for doc, tie, text, parts in zip(*(c.slice(lo, hi - lo).to_pylist() for c in batch.columns)):
                     raw = text.encode()
-                    rows += [(r["shard"], doc, tie, r["b"], r["hot"], r["h"], raw[r["b"] : r["e"] + width]) for r in parts]
+                    rows += [(r["shard"], doc, tie, r["b"], r["hot"], raw[r["b"] : r["e"] + width]) for r in parts]
                 for k in range(0, len(rows), 20_000):
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 20_000]), cut_out.types)], schema=cut_out)
 
     bytes_of = docs.select("doc", "tie", "text").join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "runs").mapInArrow(cut, cut_schema)
-    both = REPEATS + ", h bigint, bytes binary"
+    both = REPEATS + ", slice bigint, windows binary"
 
     def shard(_, cols):
-        doc, tie, b, hot, h, raw = cols
+        doc, tie, b, hot, raw = cols
         seen: dict = {}
         for i, key in enumerate(zip(doc, tie, b)):  # a repeated row gives its runs twice
             seen.setdefault(key, i)
         pick = list(seen.values())
         owner, at, texts = [(doc[i], tie[i]) for i in pick], [b[i] for i in pick], [raw[i] for i in pick]
-        lane, offset, again, _ = shard_repeats(owner, at, texts, width)
+        lane, offset, again = shard_repeats(owner, at, texts, width)
         rows = [(*r, None, None) for r in ranges_of(lane[again], offset[again], owner, at)]
-        mark = np.array([hot[i] for i in pick])
-        if mark.any():  # the earliest of each window goes on to meet other shards'
-            for k, o in zip(lane[~again].tolist(), offset[~again].tolist()):
-                if mark[k]:
-                    rows.append((*owner[k], at[k] + o, at[k] + o, h[pick[k]], texts[k][o : o + width]))
+        mine = ~again & np.array([hot[i] for i in pick])[lane]
+        if mine.any():  # the earliest of each window goes on to meet other shards'
+            rows += [(None, None, None, None, k, w) for k, w in cut_windows(lane[mine], offset[mine], owner, at, texts, width, splitters)]
         return rows
 
     found_here = stored(map_groups(bytes_of, "shard", shard, both), "shard-repeats")
-    repeats = found_here.where("bytes is null").select("doc", "tie", "b", "e")
-    apart = found_here.where("bytes is not null")
+    repeats = found_here.where("windows is null").select("doc", "tie", "b", "e")
+    apart = found_here.where("windows is not null").select("slice", "windows")
     if not apart.limit(1).count():
         return repeats
-    return repeats.union(merged_shards(apart))
+    return repeats.union(map_groups(apart, "slice", merged, REPEATS))
 
 
-def merged_shards(apart: DataFrame, slices_of: int = 256) -> DataFrame:
-    """Merge the sorted windows of several shards: binary search at common splitters, then each slice on its own.
+PACKED = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("b", "<i4")])
 
-    Splitters are quantiles of a bounded sample; equal windows fall into one slice wherever they come from, and a slice
-    gets a window at most once a shard.
-    """
-    sample = sorted(bytes(r.bytes) for r in apart.orderBy(F.xxhash64("bytes", "doc", "b")).select("bytes").limit(64 * slices_of).collect())
-    cuts = apart.sparkSession.sparkContext.broadcast(sorted(set(sample[:: max(1, len(sample) // slices_of)])))
-    schema = "slice bigint, " + REPEATS + ", bytes binary"
-    out = arrow_schema(apart.sparkSession, schema)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = [bisect_right(cuts.value, w) for w in batch.column(4).to_pylist()]
-            yield pa.record_batch([pa.array(at, pa.int64()), *batch.columns], schema=out)
+def evenly(n: int) -> np.ndarray:
+    """n - 1 splitters that part the 64-bit words into n equal ranges."""
+    return np.array([(i << 64) // n for i in range(1, n)], np.uint64)
 
-    sliced = apart.select("doc", "tie", "b", "e", "bytes").mapInArrow(place, schema)
-    first = sliced.groupBy("slice", "bytes").agg(F.min(F.struct("doc", "tie", "b")).alias("first"))
-    met = sliced.join(first, ["slice", "bytes"])
-    return met.where(F.struct("doc", "tie", "b") != F.col("first")).select("doc", "tie", "b", "e")
+
+def cut_windows(lane, offset, owner, at, texts, width: int, splitters: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(slice, packed windows): a shard's windows, sorted by hash and cut at the splitters by binary search."""
+    import xxhash
+
+    x = np.empty(len(lane), PACKED)
+    digest = b"".join([xxhash.xxh3_128_digest(texts[k][o : o + width]) for k, o in zip(lane.tolist(), offset.tolist())])
+    x["high"], x["low"] = np.frombuffer(digest, "<u8").reshape(-1, 2).T
+    doc, tie = (np.array(v, np.int64) for v in zip(*owner))
+    x["doc"], x["tie"], x["b"] = doc[lane], tie[lane], np.array(at, np.int64)[lane] + offset
+    x = x[np.argsort(x["high"], kind="stable")]
+    edges = [0, *np.searchsorted(x["high"], splitters).tolist(), len(x)]
+    return ((k, x[lo:hi].tobytes()) for k, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo)
+
+
+def merged(_, cols) -> list[tuple[int, int, int, int]]:
+    """Windows of one slice, from all shards, that also occur earlier."""
+    x = np.frombuffer(b"".join(cols[0]), PACKED)
+    x = x[np.lexsort((x["b"], x["tie"], x["doc"], x["low"], x["high"]))]
+    again = np.r_[False, (x["high"][1:] == x["high"][:-1]) & (x["low"][1:] == x["low"][:-1])]
+    return [(d, t, b, b) for d, t, b in zip(*(x[c][again].tolist() for c in ("doc", "tie", "b")))]
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 100, shard_bytes: int = 3_000_000, with_text: bool = False) -> DataFrame:
