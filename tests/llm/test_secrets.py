@@ -1,0 +1,93 @@
+"""Operator 1 against Python's regular expressions, and its entropy against counting every window anew."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+from ordolith.llm import secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+KEY1, KEY2 = "AKIA" + "ABCDEFGHIJ234567", "AKIA" + "ABC"
+
+
+def base(text):
+    text = text or ""
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def entropy(w):
+    return math.log2(len(w)) - sum(c * math.log2(c) for c in Counter(w).values()) / len(w)
+
+
+def added(text, spans):
+    found = []
+    for rank, c in enumerate(secrets.CLASSES):
+        for m in re.finditer(c.pattern, text or ""):
+            if not re.search(c.needs, m[0]) or any(re.search(p, m[0]) for p in secrets.ALLOWED):
+                continue
+            if any(s < m.end() and e > m.start() for s, _, e, _ in spans):
+                continue
+            hot = [i for i in range(len(m[0]) - c.window + 1) if entropy(m[0][i : i + c.window]) >= c.bits - 1e-9]
+            if hot:
+                found.append((m.start() + hot[0], 3 + rank, m.start() + hot[-1] + c.window, c.kind))
+    return found
+
+
+def joined(spans):
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans))
+
+
+TEXTS = [
+    None,
+    "",
+    "nothing to see",
+    'PassWord = "hunter2x" and api_key:abc123 token=short secret  :  longenough',
+    f"x{KEY1}y {KEY2} {KEY1}{KEY1}",
+    "deadbeef" * 3 + " " + "deadbeef" * 2 + " ä" + "0123456789abcdef" * 2,
+    "token=token=abcdef1 secret:secret:abcdefg",
+    "ünïcode 🎉 password='p/q+r_s.t=u-v' tail",
+    "aB3dE5gH7jK9mN1pQ3sT5vX7zA9 1f0a9c8b7d6e5f4a3b2c DEADBEEF0123456789AC",
+    "550e8400-e29b-41d4-a716-446655440000 example1A2b3C4d5E6f7G8h9I0j",
+    "q" * 60 + "1" * 40 + "Zx9Kd83hQp2Lw7Vb5Tn4" + "a" * 30,
+    "password=" + "s3cr3t" * 400 + " " + "word " * 3000,
+]
+
+
+def test_spans_are_those_of_brute_force(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}
+    for i, text in enumerate(TEXTS):
+        want, got = base(text), rows[i]
+        n = Counter(k for *_, k in want)
+        assert (got.n_assign, got.n_access, got.n_hex) == (n["assign"], n["access"], n["hex"]), text
+        assert got.base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest(), text
+        assert got.spans == joined(want + added(text, want)), text
+
+
+def test_redaction_keeps_rows_columns_and_the_rest_of_the_text(spark):
+    df = spark.createDataFrame([(i, t, "extra", i) for i, t in enumerate(TEXTS)], "doc_id bigint, text string, _x string, n_chars int")
+    rows = {r.doc_id: r for r in secrets.redact_secrets(df, mark="@").collect()}
+    assert df.columns == secrets.redact_secrets(df).columns
+    for i, text in enumerate(TEXTS):
+        want = base(text)
+        out, at = "", 0
+        for s, _, e, _ in sorted(want + added(text, want)):
+            if e > at:
+                out, at = out + (text[at:s] + "@" if s >= at else ""), max(at, e)
+        assert rows[i].text == (None if text is None else out + text[at:])
+
+
+def test_no_python_in_the_plan(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string").repartition(2)
+    plan = secrets.scan_secrets(df)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_empty_table_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, TEXTS[3]), (1, TEXTS[3])], "doc_id bigint, text string")
+    assert len({tuple(r) for r in secrets.scan_secrets(df).collect()}) == 1
+    assert secrets.scan_secrets(df.limit(0)).count() == 0
