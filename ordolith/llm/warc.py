@@ -201,3 +201,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     manifest = write_warc(table(spark, sf_dir, "pages"), folder)
     return read_warc(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The same rows in DuckDB.
+ORACLE_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+    o AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest, max(page_id) OVER (PARTITION BY body) AS owner FROM p)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 1000 AND page_id <> owner THEN owner END AS refers_to FROM o"""
