@@ -251,7 +251,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     offsets = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = manifest.select("shard").repartition(n, "shard").mapInArrow(run, schema)
-    return rows.join(offsets.select("shard", "before"), "shard").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    # said outright, as the optimizer takes the rows, whose estimate is the manifest's, for the small side
+    return rows.join(F.broadcast(offsets.select("shard", "before")), "shard").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
