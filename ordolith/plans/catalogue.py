@@ -174,11 +174,17 @@ def reduce_pair(spark, sf):
     return keyed.reduce_pair(pairs, "l_partkey", "qty", "sum")
 
 
+def _user_slots(e: DataFrame) -> int:
+    """Slots of an index by ``user_id``: every id of the events and 50 beyond, the 201 of the SQL at least."""
+    most = e.agg(F.max("user_id")).first()[0]
+    return max(201, (-1 if most is None else most) + 51)
+
+
 @query(f"""SELECT range AS user_id, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM range(201) LEFT JOIN
     (SELECT user_id, count(*) AS n, CAST(sum({CENTS}) AS BIGINT) AS total FROM events WHERE user_id < 201 GROUP BY 1) ON range = user_id""")
 def reduce_to_index(spark, sf):
-    e = events(spark, sf).df.where("user_id < 201")
-    return keyed.reduce_to_index(e, "user_id", 201, {"n": F.count("*"), "total": ("sum", cents())}, {"n": 0, "total": 0}).df
+    e = events(spark, sf).df.where("user_id is not null")
+    return keyed.reduce_to_index(e, "user_id", _user_slots(e), {"n": F.count("*"), "total": ("sum", cents())}, {"n": 0, "total": 0}).df
 
 
 @query("SELECT o_orderpriority, count(*) AS n, list(o_orderkey ORDER BY o_orderdate, o_orderkey)[1] AS first_key, list(o_orderkey ORDER BY o_orderdate, o_orderkey)[-1] AS last_key FROM orders GROUP BY 1")
@@ -197,8 +203,8 @@ def group_median(spark, sf):
 @query(f"""SELECT range AS user_id, coalesce(last_value, -1) AS last_value FROM range(201) LEFT JOIN
     (SELECT user_id, arg_max({CENTS}, event_id) AS last_value FROM events WHERE user_id < 201 GROUP BY 1) ON range = user_id""")
 def group_to_index(spark, sf):
-    e = ordered(events(spark, sf).df.where("user_id < 201").select("event_id", "user_id", cents().alias("v")), "event_id")
-    return keyed.group_to_index(e, "user_id", 201, {"last_value": F.element_at("items", -1)["v"]}, {"last_value": -1}, "v").df
+    e = ordered(events(spark, sf).df.where("user_id is not null").select("event_id", "user_id", cents().alias("v")), "event_id")
+    return keyed.group_to_index(e, "user_id", _user_slots(e.df), {"last_value": F.element_at("items", -1)["v"]}, {"last_value": -1}, "v").df
 
 
 @query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")

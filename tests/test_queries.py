@@ -43,6 +43,17 @@ def test_query_equals_sql(spark, con, name):
     assert rows_of(df.columns, df.collect()) == rows_of(names, want.fetchall())
 
 
+def test_indexes_hold_every_user(spark, tmp_path):
+    rows = [(1, 0, 1.5), (2, 200, 2.0), (3, 201, 3.0), (4, 5000, 4.0), (5, 5000, -6.0), (6, None, 7.0)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double").write.parquet(f"{tmp_path}/events.parquet")
+    reduced = {r.user_id: (r.n, r.total) for r in catalogue.QUERIES["reduce_to_index"](spark, str(tmp_path)).collect()}
+    assert sorted(reduced) == list(range(5051))
+    assert {k: v for k, v in reduced.items() if v[0]} == {0: (1, 150), 200: (1, 200), 201: (1, 300), 5000: (2, -200)}
+    last = {r.user_id: r.last_value for r in catalogue.QUERIES["group_to_index"](spark, str(tmp_path)).collect()}
+    assert sorted(last) == list(range(5051))
+    assert {k: v for k, v in last.items() if v != -1} == {0: 150, 200: 200, 201: 300, 5000: -600}
+
+
 def test_queries_without_sql(spark):
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"bernoulli_random", "sample", "bisecting_kmeans", "lcp"}
     events = spark.read.parquet(f"{SF}/events.parquet")
