@@ -12,7 +12,8 @@ their number was checked, and else by a shuffle with salted document windows.
 Result: one row per document and leaked item (the smallest id of items with one template). Nulls: a null text holds
 nothing; a null document or item id is kept as null. Repeated document rows with one id are one document and
 give one row. An item shorter than a window is one window; an item without words is not searched for. Windows of which
-less than half are plain words are only used if the item has no other. Other columns are not read.
+less than half are plain words open an alignment by their values only (by the template if the item has no other), but
+count by their template in every alignment that is open. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -85,12 +86,39 @@ def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-ITEM_WINDOWS = "item_id bigint, words int, size int, at int, hash bigint, kinds binary, slots binary"
-DOC_WINDOWS = "doc_id bigint, at int, hash bigint, slots binary"
+VALUES = np.uint64(0xA24BAED4963EE407)
+
+
+def windows_at(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """``windows(h, k)`` at the places ``at``."""
+    x = mix(h[at])
+    for i in range(1, k):
+        x = mix(x * np.uint64(3) + h[at + i])
+    return x
+
+
+def plain_words(kind: np.ndarray, k: int) -> np.ndarray:
+    """The number of plain words in each k-word window."""
+    n = np.r_[0, np.cumsum(kind == PLAIN)]
+    return n[k:] - n[:-k]
+
+
+def among(array: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of ``h`` that pass the bit array."""
+    a, b = bits_of(h)
+    hit = np.flatnonzero((array[a >> 3] >> (a & 7) & 1).astype(bool))
+    return hit[(array[b[hit] >> 3] >> (b[hit] & 7) & 1).astype(bool)]
+
+
+ITEM_WINDOWS = "item_id bigint, words int, size int, at int, hash bigint, kinds binary, slots binary, opens boolean"
+DOC_WINDOWS = "doc_id bigint, at int, hash bigint, slots binary, opens boolean"
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """Windows of every item: its template hash, kinds and values. Items with one template are one."""
+    """Windows of every item: its template hash, kinds and values. Items with one text are one.
+
+    Windows that don't open an alignment by their template have a second row, which opens one by the hash of the values.
+    """
     out = arrow_schema(items.sparkSession, ITEM_WINDOWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +131,14 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
                     continue
                 k = min(size, n)
                 h = windows(shape, k) if n >= size else mix(windows(shape, k) + np.uint64(n))
-                plain = np.convolve(kind == PLAIN, np.ones(k, int), "valid")
-                use = 2 * plain >= k
-                use = use if use.any() else np.ones(len(h), bool)
-                rows += [(item, n, k, i, int(as_long(h)[i]), kind[i : i + k].astype(np.int8).tobytes(), value[i : i + k].tobytes()) for i in np.flatnonzero(use).tolist()]
+                opens = 2 * plain_words(kind, k) >= k
+                opens = opens if opens.any() else np.ones(len(h), bool)
+                exact = mix(windows(value, k) ^ VALUES)
+                for i in range(len(h)):
+                    at = (item, n, k, i), (kind[i : i + k].astype(np.int8).tobytes(), value[i : i + k].tobytes())
+                    rows.append((*at[0], int(as_long(h)[i]), *at[1], bool(opens[i])))
+                    if not opens[i]:
+                        rows.append((*at[0], int(as_long(exact)[i]), *at[1], True))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out)
 
@@ -126,14 +158,18 @@ def leaked(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_co
     h = F.col("hash")
     first = F.shiftrightunsigned(h, 64 - BITS)
     second = F.shiftrightunsigned(F.shiftleft(h, BITS), 64 - BITS)
-    places = targets.select(F.explode(F.array(first, second)).alias("b")).distinct().toArrow()["b"].to_numpy()  # 2**24 at most
-    array = np.zeros(1 << (BITS - 3), np.uint8)
-    np.bitwise_or.at(array, places >> 3, (1 << (places & 7)).astype(np.uint8))
-    seen = spark.sparkContext.broadcast(array)
+    places = targets.select("opens", F.explode(F.array(first, second)).alias("b")).distinct().toArrow()  # 2**25 at most
+    arrays = []
+    for opens in (True, False):
+        b = places.filter(pa.compute.equal(places["opens"], opens))["b"].to_numpy()
+        arrays.append(np.zeros(1 << (BITS - 3), np.uint8))
+        np.bitwise_or.at(arrays[-1], b >> 3, (1 << (b & 7)).astype(np.uint8))
+    seen = spark.sparkContext.broadcast(arrays)
+    longest = targets.agg(F.max("words")).first()[0] or 0
     out = arrow_schema(spark, DOC_WINDOWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_of = seen.value
+        opening, others = seen.value
         for batch in batches:
             for lo, hi in slices(batch.columns, batch.num_rows):
                 rows = []
@@ -142,26 +178,47 @@ def leaked(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_co
                     for k in (*short, size):
                         if len(kind) < k:
                             continue
-                        h = windows(shape, k)
-                        todo = [(h, k)] if k == size else [(mix(h + np.uint64(k)), k)]
-                        for h, k in todo:
-                            a, b = bits_of(h)
-                            hit = np.flatnonzero((table_of[a >> 3] >> (a & 7) & 1).astype(bool))
-                            hit = hit[(table_of[b[hit] >> 3] >> (b[hit] & 7) & 1).astype(bool)]
-                            rows += [(doc, i, x, value[i : i + k].tobytes()) for i, x in zip(hit.tolist(), as_long(h)[hit].tolist())]
+                        h = windows(shape, k) if k == size else mix(windows(shape, k) + np.uint64(k))
+                        hit = among(opening, h)
+                        met = [(hit, h[hit], True)]
+                        heavy = np.flatnonzero(2 * plain_words(kind, k) < k) if k == size else hit[:0]
+                        if len(heavy):
+                            exact = mix(windows_at(value, heavy, k) ^ VALUES)
+                            same = among(opening, exact)
+                            met.append((heavy[same], exact[same], True))
+                            start = np.union1d(hit, heavy[same])
+                            # no alignment reaches further from a window that opens it than the longest item
+                            if len(start):
+                                after = start[np.minimum(np.searchsorted(start, heavy), len(start) - 1)]
+                                before = start[np.maximum(np.searchsorted(start, heavy, "right") - 1, 0)]
+                                heavy = heavy[np.minimum(abs(after - heavy), abs(heavy - before)) < longest]
+                                heavy = heavy[among(others, h[heavy])]
+                                met.append((heavy, h[heavy], False))
+                        rows += [(doc, i, x, value[i : i + k].tobytes(), opens) for at, of, opens in met for i, x in zip(at.tolist(), as_long(of).tolist())]
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out)
 
     hits = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, DOC_WINDOWS)
+    hits = stored(hits, "window-hits")
     right = targets.withColumnsRenamed({"at": "item_at", "slots": "item_slots"})
-    if targets.count() <= broadcast_rows:
-        met = hits.join(F.broadcast(right), "hash")
-    else:
+    few = targets.count() <= broadcast_rows
+
+    def with_items(left: DataFrame, items: DataFrame, on: str, *spread: str) -> DataFrame:
+        if few:
+            return left.join(F.broadcast(items), on)
         salts = 16
-        salted = hits.withColumn("salt", F.pmod(F.hash("doc_id", "at"), F.lit(salts)))
-        met = salted.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["hash", "salt"])
+        salted = left.withColumn("salt", F.pmod(F.hash(*spread), F.lit(salts)))
+        return salted.join(items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [on, "salt"])
+
     # each window alone: values of plain words were compared by the hash, slots are kept for the alignment
-    met = met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "words", "size", "kinds", "slots", "item_slots")
+    names = ["doc_id", "item_id", "shift", "item_at", "words", "size", "kinds", "slots", "item_slots"]
+    met = with_items(hits.where("opens").drop("opens"), right.where("opens"), "hash", "doc_id", "at").withColumn("shift", F.col("at") - F.col("item_at")).select(*names)
+    met = stored(met, "met-windows")
+    # the other windows of what is open: each has one place in the document
+    wanted = with_items(met.select("doc_id", "item_id", "shift").distinct(), right.where("not opens").drop("opens"), "item_id", "doc_id", "shift").withColumn("at", F.col("shift") + F.col("item_at"))
+    there = hits.where("not opens").select(F.col("doc_id").alias("_doc"), F.col("at").alias("_at"), F.col("hash").alias("_hash"), "slots")
+    more = wanted.join(there, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("at") == F.col("_at")) & (F.col("hash") == F.col("_hash"))).select(*names)
+    met = met.union(more)
     return consistent(met, coverage)
 
 

@@ -102,3 +102,13 @@ def test_dropping_keeps_clean_rows_and_columns(spark):
     assert {3, 4, 7, 8, None} <= {r.doc_id for r in kept.collect()} and not {1, 2, 5, 9} & {r.doc_id for r in kept.collect()}
     assert d.leaked(df.limit(0), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
     assert d.leaked(df, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
+
+
+def test_copies_of_slot_heavy_items_are_found_whole(spark):
+    item = "Find the mean of the values 3, 5, 7, 9, 11, 13, 15, 17, 19, 21, 23."
+    other = item.replace("3, 5, 7", "4, 6, 8")
+    tail = " ".join(item.split()[4:])  # the windows that are open by their template are cut off
+    docs = [(1, "some words before. " + item + " some words after"), (2, other), (3, "x " + tail), (4, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18")]
+    for how in ({}, {"broadcast_rows": 0}):
+        assert result(spark, docs, [(1, item)], **how) == {(1, 1): 17, (2, 1): 17, (3, 1): 13}
+    assert result(spark, [(None, item)], [(1, item)]) == {(None, 1): 17}
