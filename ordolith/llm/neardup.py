@@ -89,7 +89,10 @@ def sketch(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
 
 
 def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float, similarity: float, estimates: bool = False):
-    """Matrix: whether rows of a and b may be similar, by tokens and by set sizes (and the estimates). Compared in blocks."""
+    """Matrix: whether rows of a and b may be similar, by tokens and by set sizes (and the estimates). Compared in blocks.
+
+    A similarity of 0 leaves the sizes out.
+    """
     same = np.empty((len(a), len(b)), np.int16)
     for lo in range(0, len(a), 32):
         same[lo : lo + 32] = (a[lo : lo + 32, None, :] == b[None, :, :]).sum(-1, dtype=np.int16)
@@ -174,7 +177,7 @@ def candidates(reps: DataFrame, similarity: float, *, small: int = 512, pivots:
         rest = stored(met.where("not settled").join(apart, "node").select(F.col("a").alias("id"), "node", "n", "sig", "main", "apart"), "unsettled")
         last = rest.where(F.col("apart") <= small)
         others = last.where("not main").groupBy("node").agg(F.collect_list(F.struct("id", "n", "sig")).alias("pivots"))
-        found.append(stored(against_pivots(last.join(others, "node"), least, similarity).select("a", F.explode("bs").alias("b")).distinct(), "met"))
+        found.append(stored(against_pivots(last.join(others, "node"), least, similarity, similarity).select("a", F.explode("bs").alias("b")).distinct(), "met"))
         branch = children if level < 2 else 1
         child = rest.where(F.col("apart") > small).select("id", "node", "sig", F.explode(F.sequence(F.lit(0), F.lit(branch - 1))).alias("j"))
         place = F.pmod(F.xxhash64("node", F.lit(level), "j"), F.lit(TOKENS)).cast("int") + 1
@@ -185,12 +188,13 @@ def candidates(reps: DataFrame, similarity: float, *, small: int = 512, pivots:
     return out.distinct()
 
 
-def against_pivots(rows: DataFrame, least: float, similarity: float) -> DataFrame:
+def against_pivots(rows: DataFrame, least: float, similarity: float, ratio: float = 0.0) -> DataFrame:
     """Each member of a large branch and, as ``bs``, one pivot of each group of linked pivots that it may be similar to.
 
     main: it may be similar to one of the branch's main pivots, the largest group of pivots that are linked with each
     other, so all main members are in one cluster. settled: it is so near to a main pivot that whatever may be linked
-    with it is near that pivot as well (distances add up at most), so both are in the pivot's cluster.
+    with it is near that pivot as well (distances add up at most), so both are in the pivot's cluster. That says nothing
+    of set sizes, so these may prune (``ratio``) only where rows meet all that they may be linked with.
     """
     schema = "a bigint, node bigint, n bigint, sig binary, bs array<bigint>, main boolean, settled boolean"
     out = arrow_schema(rows.sparkSession, schema)
@@ -209,13 +213,13 @@ def against_pivots(rows: DataFrame, least: float, similarity: float) -> DataFram
                     x = batch.column(4)[int(first[k])].as_py()
                     x.sort(key=lambda v: v["id"])
                     p, size = tokens_of([v["sig"] for v in x]), np.array([v["n"] for v in x], float)
-                    root = linked(close(p, p, size, size, least, similarity))
+                    root = linked(close(p, p, size, size, least, ratio))
                     seen[node] = np.array([v["id"] for v in x]), p, size, root, root == np.bincount(root).argmax()
                 names, p, size, root, is_main = seen[node]
                 rows = np.flatnonzero(of == k)
                 for lo in range(0, len(rows), 1024):
                     at = rows[lo : lo + 1024]
-                    near, est = close(sig[at], p, n[at].astype(float), size, least, similarity, True)
+                    near, est = close(sig[at], p, n[at].astype(float), size, least, ratio, True)
                     main[at] = (near & is_main).any(1)
                     settled[at] = (near & is_main & (est >= sure)).any(1)
                     for i, hit in zip(at.tolist(), near):

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from ordolith.llm import neardup
-from ordolith.llm.common import components
+from ordolith.llm.common import components, stored
 
 
 def shingles(text, k):
@@ -108,3 +108,21 @@ def test_linked_and_confirm():
     for i, j in [(0, 3), (3, 5), (1, 2)]:
         near[i, j] = near[j, i] = True
     assert neardup.linked(near).tolist() == [0, 1, 1, 0, 4, 0]
+
+
+def one_branch(df):
+    """Nodes for ``candidates`` of one-word shingles, all in a single branch of a single tree."""
+    rows = neardup.sketch(df, 1, 1, 1).selectExpr("doc_id as id", "n_shingles as n", "sig", "array(7L) as nodes")
+    return stored(rows, "one-branch")
+
+
+def test_subsets_of_a_large_groups_members_keep_their_links(spark):
+    base = [f"w{i}" for i in range(1000)]
+    docs = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(560)]
+    for i in range(3):  # a: 990 words; b: 842 of them, too few for a set of 1000 words, so only a is linked with it
+        a = base[: 10 * i] + base[10 * i + 10 :]
+        docs += [(1000 + i, " ".join(a)), (2000 + i, " ".join(a[:842] if i else a[148:]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    one = one_branch(df)  # no other tree helps
+    assert {(r.id, r.component) for r in components(neardup.candidates(one, 0.85)).collect()} == {(i, 0) for i, _ in docs}
+    assert {c for _, _, c, _ in result(df, percent=85, words=1)} == {0}
