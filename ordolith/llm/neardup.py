@@ -2,8 +2,8 @@
 
 1. Texts with one shingle set are one node (the smallest id); every node gets minwise tokens.
 2. Trees branch nodes by chosen minwise tokens: first on ``depth`` of them at once, then large branches again, each
-   into several children, until they are small. Independent trees repeat this until a pair at the threshold is
-   missed with probability ``miss`` at most. Small branches are compared exhaustively by their tokens, with a margin
+   into several children, until they are small or can be compared in a few blocks. Independent trees repeat this until
+   a pair at the threshold is missed with probability ``miss`` at most, whatever the number of levels. Small branches are compared exhaustively by their tokens, with a margin
    of five standard deviations below the threshold. In large ones every document is compared with a few pivots.
    Documents near the main pivots are in one cluster and needn't meet each other; only what lies apart goes on, with
    those that are not so near to a main pivot that all their partners must have met it as well.
@@ -148,7 +148,23 @@ def meet_all(least: float, similarity: float):
     return f
 
 
-def candidates(reps: DataFrame, similarity: float, *, small: int = 512, pivots: int = 8, children: int = 3, levels: int = 24) -> DataFrame:
+LEVELS = 24
+
+
+def branching(level: int) -> int:
+    """Children of a large branch; two at deep levels, as with one each level would lose pairs."""
+    return 3 if level < 2 else 2
+
+
+def together(similarity: float, levels: int = LEVELS) -> float:
+    """The probability that a pair of a large branch is still together in some branch after all levels."""
+    p = 1.0
+    for level in reversed(range(levels)):
+        p = 1 - (1 - similarity * p) ** branching(level)
+    return p
+
+
+def candidates(reps: DataFrame, similarity: float, *, small: int = 512, pivots: int = 8, levels: int = LEVELS, blocks: int = 8) -> DataFrame:
     """Links (a, b) between nodes (id, n, sig, nodes) that may be similar; reps must be a stored frame."""
     sigma = math.sqrt(similarity * (1 - similarity) / TOKENS)
     least = similarity - 5 * sigma
@@ -167,6 +183,9 @@ def candidates(reps: DataFrame, similarity: float, *, small: int = 512, pivots:
         if level == levels:  # what has not split by now is compared block by block
             found.append(in_blocks(many, small, meet_all(least, similarity), links))
             break
+        if level >= 2:  # and so is what makes a few blocks
+            found.append(stored(in_blocks(many.where(F.col("size") <= blocks * small), small, meet_all(least, similarity), links).distinct(), "met"))
+            many = many.where(F.col("size") > blocks * small)
         # pivots: the least hash in each of a few classes of hashes, found with a map-side combine
         h = F.xxhash64("id", "node")
         chosen = many.groupBy("node", F.pmod(h, F.lit(pivots)).alias("p")).agg(F.min_by(F.struct("id", "n", "sig"), h).alias("x")).groupBy("node").agg(F.collect_list("x").alias("pivots"))
@@ -178,9 +197,9 @@ def candidates(reps: DataFrame, similarity: float, *, small: int = 512, pivots:
         last = rest.where(F.col("apart") <= small)
         others = last.where("not main").groupBy("node").agg(F.collect_list(F.struct("id", "n", "sig")).alias("pivots"))
         found.append(stored(against_pivots(last.join(others, "node"), least, similarity, similarity).select("a", F.explode("bs").alias("b")).distinct(), "met"))
-        branch = children if level < 2 else 1
-        child = rest.where(F.col("apart") > small).select("id", "node", "sig", F.explode(F.sequence(F.lit(0), F.lit(branch - 1))).alias("j"))
-        place = F.pmod(F.xxhash64("node", F.lit(level), "j"), F.lit(TOKENS)).cast("int") + 1
+        child = rest.where(F.col("apart") > small).select("id", "node", "sig", F.explode(F.sequence(F.lit(0), F.lit(branching(level) - 1))).alias("j"))
+        # children of one branch differ in their token
+        place = F.pmod(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(TOKENS)) + 43 * F.col("j"), F.lit(TOKENS)).cast("int") + 1
         members = child.select("id", F.xxhash64("node", "j", F.lit(level), F.col("sig").substr(place, F.lit(1))).alias("node"))
     out = found[0]
     for x in found[1:]:
@@ -345,7 +364,7 @@ def confirmed(clusters: DataFrame, texts: DataFrame, k: int, percent: int, most:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, depth: int = 3, miss: float = 1e-6, most: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents whose sets have ``percent`` of their union in common."""
     similarity = percent / 100
-    trees = math.ceil(math.log(miss) / math.log(1 - similarity**depth))
+    trees = math.ceil(math.log(miss) / math.log(1 - similarity**depth * together(similarity)))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(sketch(texts, words, trees, depth), "sketches")
     reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))

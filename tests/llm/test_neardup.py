@@ -126,3 +126,17 @@ def test_subsets_of_a_large_groups_members_keep_their_links(spark):
     one = one_branch(df)  # no other tree helps
     assert {(r.id, r.component) for r in components(neardup.candidates(one, 0.85)).collect()} == {(i, 0) for i, _ in docs}
     assert {c for _, _, c, _ in result(df, percent=85, words=1)} == {0}
+
+
+def test_pairs_stay_together_in_deep_branches(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(6):  # a branch each; members share tokens 0 of one another, and two of them 0.85 of all tokens
+        sig = np.where(rng.random((1200, neardup.TOKENS)) < 0.6, 0, rng.integers(1, 256, (1200, neardup.TOKENS)))
+        apart = rng.permutation(neardup.TOKENS)[:19]
+        sig[:2] = 0
+        sig[0, apart[:10]], sig[1, apart[10:]] = 1, 2
+        rows += [(2000 * g + i, 100, bytes(r.astype(np.uint8)), [g]) for i, r in enumerate(sig)]
+    reps = stored(spark.createDataFrame(rows, "id bigint, n bigint, sig binary, nodes array<bigint>"), "reps")
+    comp = {r.id: r.component for r in components(neardup.candidates(reps, 0.85, small=4, pivots=2)).collect()}
+    assert [comp.get(2000 * g, -1) == comp.get(2000 * g + 1, -2) for g in range(6)] == [True] * 6
