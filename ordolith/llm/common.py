@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  slices() uses pa.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs without ASCII white space; ``bytes.split()`` splits on exactly \x20 \x09-\x0D.
@@ -47,16 +46,42 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs only a re-read."""
     at = scratch_path(df.sparkSession, what)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    back = df.sparkSession.read.schema(df.schema).parquet(at)
+    back.stored_at = at
+    return back
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a frame from ``stored`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def drop_stored(*frames: DataFrame) -> None:
+    """Delete the files of frames from ``stored`` that nothing reads any more (a frame derived from one still does)."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def text_key(text: Column) -> Column:
+    """With the id it names a row by content, so that rows that share an id, or have none, are judged apart.
+
+    A null text has the key of an empty one, as all operators treat them alike.
+    """
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def anti_join(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose (id, text key) isn't in ``gone`` (doc_id, tie); null ids are equal. All columns as they were."""
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (text_key(docs[text_col]) == gone["_gone_tie"]), "left_anti")
+
+
+_HELD: dict = {}
+
+
+def held(name: str, make: Callable):
+    """What a worker keeps between tasks (a memo, an encoder): of one operator at a time, as workers outlive the stages."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
 
 
 class Memo(dict):
@@ -148,20 +173,19 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
-UPPER = re.compile(r"[A-Z]")
-
-
-def map_groups(df: DataFrame, key: str, f: Callable, schema: str) -> DataFrame:
+def map_groups(df: DataFrame, key: str, f: Callable, schema: str, unique: str | None = None) -> DataFrame:
     """Rows of equal ``key`` (a bigint) go to ``f(key, columns)``, columns as lists without the key; f gives rows.
 
     For groups whose size is bounded by what made them. One shuffle by key, a spilling sort, and runs of equal keys read
-    in Arrow batches: many small groups cost no call into pandas each.
+    in Arrow batches: many small groups cost no call into pandas each. unique: a bigint column of which a group holds
+    each value once; further rows pass by unheld.
     """
     out = arrow_schema(df.sparkSession, schema)
-    names = [key, *(c for c in df.columns if c != key)]
+    order = [key, unique] if unique else [key]
+    names = [*order, *(c for c in df.columns if c not in order)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, [[] for _ in names[1:]]
+        held_key, held, last = None, [[] for _ in names[1:]], None
         rows: list = []
 
         def flush():
@@ -170,6 +194,10 @@ def map_groups(df: DataFrame, key: str, f: Callable, schema: str) -> DataFrame:
             return batch
 
         for batch in batches:
+            if unique and batch.num_rows:
+                pair = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+                new = np.r_[last is None or (pair[:, 0] != last).any(), (pair[:, 1:] != pair[:, :-1]).any(0)]
+                last, batch = pair[:, -1].copy(), batch.filter(pa.array(new))
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             cols = [c.to_pylist() for c in batch.columns[1:]]
             edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
@@ -189,7 +217,7 @@ def map_groups(df: DataFrame, key: str, f: Callable, schema: str) -> DataFrame:
         if rows:
             yield flush()
 
-    return df.select(*names).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.select(*names).repartition(key).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,5 +243,8 @@ def components(edges: DataFrame) -> DataFrame:
         return not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").limit(1).count()
 
     while not done(links):
-        links = stored(star(stored(star(links, True), "links"), False), "links")
+        half = stored(star(links, True), "links")
+        new = stored(star(half, False), "links")
+        drop_stored(links, half)
+        links = new
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -1,10 +1,10 @@
 """Operator 3: language-model scores by subword lattice likelihood.
 
-A word may be written by any segmentation into pieces of an existing vocabulary; the forward recursion over its
-lattice adds the probabilities of all of them in log space. Piece weights start from the vocabulary's own scores
-(ranks, read as a Zipf law) and are re-estimated once, by expected counts over all distinct training words. A word's
-probability joins its training count with the lattice as base measure (Witten-Bell):
-(count + V * lattice) / (N + V), and a document's is the product over its words and its end.
+A text may be written by any segmentation into pieces of an existing vocabulary; the forward recursion over its
+lattice adds the probabilities of all of them in log space. Piece weights are the vocabulary's own scores (ranks, read
+as a Zipf law); the share of ends among all training tokens is the weight of the end, one token after the last word.
+No piece spans two words, so the document's marginal probability is the product over its words and its end.
+``base_score`` is the contract's count model beside it.
 
 Work grows with distinct words, not with tokens: counts of all words are gathered with a map-side combine, the lattice
 runs once per distinct word, and documents meet their words in two ways. Words with at least a 2**-17 share of all
@@ -12,8 +12,8 @@ tokens, of which there can be no more than 2**17, are broadcast and summed in pl
 definition, so joining them by word has no hot key.
 
 Nulls: a null text is an empty text (its end only). A null id counts as not held out. Repeated rows weigh as often as
-they occur and each gets its row. With no training rows counts are 0 and scores come from the lattice alone. An
-empty table gives no rows. Other columns are not read.
+they occur and each gets its row. With no training rows counts are 0 and the end weighs a half. An empty table gives no
+rows. Other columns are not read. A word of any length takes memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -40,63 +40,52 @@ HOT_BITS = 17
 class Lattice:
     """Log weights of pieces; a character that no piece covers is spelt in bytes."""
 
-    def __init__(self, pieces: dict[str, float], byte: float):
-        self.pieces, self.byte = pieces, byte
-        self.longest = max(map(len, pieces), default=1)
+    def __init__(self, pieces: dict[str, float], byte: float, end: float = 0.0):
+        self.pieces, self.byte, self.end = pieces, byte, end
+        # what begins a piece without being one: the search for longer ones goes on only there
+        self.begun: dict[str, float | None] = {p[:k]: None for p in pieces for k in range(1, len(p))}
+        self.begun.update(pieces)
 
     @classmethod
-    def existing(cls, path: str, byte_share: float = 0.01) -> Lattice:
-        """From a sentencepiece file: scores are negative ranks, so the weight is that of a Zipf law of the rank."""
+    def existing(cls, path: str, end_share: float, byte_share: float = 0.01) -> Lattice:
+        """From a sentencepiece file: scores are negative ranks, so the weight is that of a Zipf law of the rank.
+
+        Pieces, 256 bytes and the end of a text share the probability of what comes next.
+        """
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         found = {sp.id_to_piece(i): -math.log(2.7 - sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-        total = math.log(sum(map(math.exp, found.values()))) - math.log1p(-byte_share)
-        return cls({p: w - total for p, w in found.items()}, math.log(byte_share / 256))
+        rest = math.log1p(-end_share)
+        total = math.log(sum(map(math.exp, found.values()))) - math.log1p(-byte_share) - rest
+        return cls({p: w - total for p, w in found.items()}, math.log(byte_share / 256) + rest, math.log(end_share))
 
-    def edges(self, s: str) -> list[list[tuple[int, float, str | None]]]:
-        """For each end j: (begin, log weight, piece) of the pieces that end there; no piece: bytes."""
-        n, get, longest = len(s), self.pieces.get, self.longest
-        into: list = [[] for _ in range(n + 1)]
+    def log_p(self, word: str) -> float:
+        """Natural log of the sum over all segmentations of the word (with its boundary mark): forward recursion."""
+        s = "▁" + word
+        n, get, byte = len(s), self.begun.get, self.byte
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        into[0].append(0.0)
         for i in range(n):
+            x = into[i]
+            if len(x) == 1:
+                a = x[0]
+            else:
+                m = max(x)
+                a = m + math.log(sum([math.exp(v - m) for v in x]))
             single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                w = get(s[i:j])
-                if w is not None:
-                    into[j].append((i, w, s[i:j]))
-                    single = single or j == i + 1
+            for j in range(i + 1, n + 1):
+                w = get(s[i:j], 1.0)
+                if w is None:
+                    continue
+                if w > 0:
+                    break
+                into[j].append(a + w)
+                single = single or j == i + 1
             if not single:
-                into[i + 1].append((i, self.byte * len(s[i].encode("utf-8", "replace")), None))
-        return into
-
-    def forward(self, into) -> list[float]:
-        a = [0.0]
-        for e in into[1:]:
-            if len(e) == 1:
-                a.append(a[e[0][0]] + e[0][1])
-                continue
-            x = [a[i] + w for i, w, _ in e]
-            m = max(x)
-            a.append(m + math.log(sum([math.exp(v - m) for v in x])))
-        return a
-
-    def log_p(self, word: str) -> float:
-        """Natural log of the sum over all segmentations of the word (with its boundary mark)."""
-        return self.forward(self.edges("▁" + word))[-1]
-
-    def expect(self, word: str, weight: float, total: dict) -> None:
-        """Add the expected count of each piece in the word, times ``weight``."""
-        into = self.edges("▁" + word)
-        a = self.forward(into)
-        n = len(a) - 1
-        back = [0.0] * n + [weight]  # posterior mass that passes each place
-        for j in range(n, 0, -1):
-            if back[j] <= 0.0:
-                continue
-            for i, w, piece in into[j]:
-                p = back[j] * math.exp(min(0.0, a[i] + w - a[j]))
-                back[i] += p
-                total[piece] += p
+                into[i + 1].append(a + byte * len(s[i].encode("utf-8", "replace")))
+        m = max(into[n])
+        return m + math.log(sum([math.exp(v - m) for v in into[n]]))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -129,45 +118,17 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(run, schema).groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("every").alias("every"))
 
 
-def reestimated(words: DataFrame, lattice: Lattice, smoothing: float = 0.05) -> Lattice:
-    """One expectation step over all distinct training words, each weighing as one type; the driver gets one number a piece."""
-    known = words.sparkSession.sparkContext.broadcast(lattice)
-    schema = "piece string, n double"
-    out = arrow_schema(words.sparkSession, schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import defaultdict
-
-        total: dict = defaultdict(float)
-        for batch in batches:
-            for w in batch.column(0).to_pylist():
-                known.value.expect(w.decode("utf-8", "replace"), 1.0, total)
-        yield pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], schema=out)
-
-    sums = words.where((F.col("trained") > 0) & (F.length("word") > 0)).select("word").mapInArrow(run, schema).groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    got = {r.piece: r.n for r in sums}
-    if not got:
-        return lattice
-    spelt, got = got.pop(None, 0.0) + 1.0, {p: got.get(p, 0.0) + smoothing for p in lattice.pieces}
-    total = math.log(sum(got.values()) + spelt)
-    return Lattice({p: math.log(n) - total for p, n in got.items()}, math.log(spelt) - total - math.log(256))
-
-
 def score_words(words: DataFrame, lattice: Lattice, n: int, v: int) -> DataFrame:
-    """Per distinct word its log10 base term and log10 probability; known: it was trained."""
+    """Per distinct word its log10 base term and its log10 lattice probability; known: it was trained."""
     model = words.sparkSession.sparkContext.broadcast(lattice)
     schema = "word binary, every bigint, known bigint, base double, score double"
     out = arrow_schema(words.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiny = 5e-324
         for batch in batches:
             c = batch.column(1).to_numpy().astype(float)
-            # the end is outside the lattice: as probable as a word of its count, or as one new type
-            q = np.array([model.value.log_p(w.decode("utf-8", "replace")) if w else -math.log(v + 1.0) for w in batch.column(0).to_pylist()])
-            with np.errstate(divide="ignore"):
-                own = np.where(c > 0, np.log(np.maximum(c, tiny)), -np.inf)
-            log_p = np.logaddexp(own, q + math.log(max(v, 1))) - math.log(n + max(v, 1))
+            lattice = model.value
+            log_p = np.array([lattice.log_p(w.decode("utf-8", "replace")) if w else lattice.end for w in batch.column(0).to_pylist()])
             base = np.log10((c + 1) / (n + v + 1))
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array((c > 0).astype(np.int64)), pa.array(base), pa.array(log_p / LOG10)], schema=out)
 
@@ -179,8 +140,9 @@ def score_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "held_out")
     words = stored(count_words(docs), "word-counts")
-    n, v, tokens = words.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count(F.when(F.col("trained") > 0, 1)), F.coalesce(F.sum("every"), F.lit(0))).first()
-    scored = stored(score_words(words, reestimated(words, Lattice.existing(path)), n, v), "word-scores")
+    zero = F.lit(0)
+    n, v, tokens, ends = words.agg(F.coalesce(F.sum("trained"), zero), F.count(F.when(F.col("trained") > 0, 1)), F.coalesce(F.sum("every"), zero), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("trained"))), zero)).first()
+    scored = stored(score_words(words, Lattice.existing(path, (ends + 1) / (n + 2)), n, v), "word-scores")
     hot_rows = scored.where(F.col("every") * (1 << HOT_BITS) >= tokens).select("word", "known", "base", "score").toArrow()  # 2**17 at most
     hot = spark.sparkContext.broadcast({w: i for i, w in enumerate(hot_rows["word"].to_pylist())})
     values = spark.sparkContext.broadcast(np.stack([hot_rows[c].to_numpy().astype(float) for c in ("known", "base", "score")] if hot_rows.num_rows else np.zeros((3, 1))))
