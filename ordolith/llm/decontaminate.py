@@ -9,11 +9,13 @@ Document windows pass a bit array of the item windows first. Its size is fixed,
 benchmark's size; what passes by chance meets no item in the exact join. Item windows are joined by broadcast only after
 their number was checked, and else by a shuffle with salted document windows.
 
-Result: one row per document and leaked item (the smallest id of items with one template). Nulls: a null text holds
-nothing; a null document or item id is kept as null. Repeated document rows with one id are one document and
-give one row. An item shorter than a window is one window; an item without words is not searched for. Windows of which
-less than half are plain words open an alignment by their values only (by the template if the item has no other), but
-count by their template in every alignment that is open. Other columns are not read.
+Result: one row per document and leaked template, under the smallest item id of the template (items are of one template
+if their plain words agree and their slots repeat alike; an id of null only where there is no other). Nulls: a null text
+holds nothing; a null document or item id is kept as null. Rows that repeat id and text are one document; different
+texts under one id, or under none, are documents of their own. An item shorter than a window is one window; an item
+without words is not searched for. Windows of which less than half are plain words open an alignment by the values of
+one of the template's items only (by the template if it has no other), but count by their template in every alignment
+that is open. An empty table on either side gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,56 +28,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_schema, mix, slices, stored, table, windows, word_hash
+from .common import Memo, anti_join, arrow_schema, held, mix, slices, stored, table, text_key, windows, word_hash
 
 PLAIN, NUMBER, NAME, UNIT = range(4)
 UNITS = frozenset(b"mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g gram grams kg lb lbs oz pound pounds ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degrees mph kph watt watts volt volts".split())
-EDGE = "".join(map(chr, range(33, 127)))
-PUNCTUATION = "".join(c for c in EDGE if not c.isalnum() and c not in "+-$%")
-DIGITS = re.compile(r"[+-]?[$]?[0-9][0-9.,:/-]*%?")
-DIGIT_UNIT = re.compile(r"[+-]?[0-9][0-9.,]*([a-z]+)")
-WORDS_OF_NUMBERS = frozenset("one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "+-$%")
+DIGITS = re.compile(rb"[+-]?[$]?[0-9][0-9.,:/-]*%?")
+DIGIT_UNIT = re.compile(rb"[+-]?[0-9][0-9.,]*([a-z]+)")
+WORDS_OF_NUMBERS = frozenset(b"one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 BITS = 24
-
-
-def described(raw: bytes) -> tuple[int, int, int]:
-    """(kind of the word, hash of its normal form, 1 if it ends a sentence or line) of one raw word; 4: may be a name."""
-    word = raw.decode("utf-8", "replace").strip(PUNCTUATION)
-    low = word.lower()
-    ends = 1 if raw[-1:] in b".!?:" else 0
-    if DIGITS.fullmatch(low) or low in WORDS_OF_NUMBERS:
+#: Stands between texts; no UTF-8 text holds this byte.
+PART = b"\xff"
+PARTED = (1 << 64) - 1
+
+
+def described(raw: bytes) -> int:
+    """A raw word as one number: its kind in the low two bits, above it a hash of the normal form (its value)."""
+    if raw == PART:
+        return PARTED
+    word = raw.strip(PUNCTUATION) or raw
+    if word.isalpha():  # ASCII letters only: no decoding
+        low = word.lower()
+        name = len(word) > 1 and word.istitle()
+    else:
+        text = word.decode("utf-8", "replace")
+        low = text.lower().encode()
+        name = len(text) > 1 and text[0].isupper() and text[1:].islower()
+    if low in WORDS_OF_NUMBERS or DIGITS.fullmatch(low):
         kind = NUMBER
-    elif low.encode() in UNITS or (m := DIGIT_UNIT.fullmatch(low)) and m[1].encode() in UNITS:
+    elif low in UNITS or (m := DIGIT_UNIT.fullmatch(low)) and m[1] in UNITS:
         kind = UNIT
-    elif len(word) > 1 and word[0].isupper() and word[1:].islower():
-        kind = 4
     else:
-        kind = PLAIN
-    return kind, word_hash((low or raw.decode("utf-8", "replace")).encode()), ends
+        kind = NAME if name else PLAIN
+    return word_hash(low) >> 3 << 2 | kind
 
 
-_MEMO: list = []
+_PLACEHOLDERS = mix(np.arange(4, dtype=np.uint64))
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word its kind, the hash it has in the template, and the hash of its value.
+def templates(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of the texts: which text, the value, and what stands in the template (value or placeholder).
 
-    A capitalised word is a name unless it begins a sentence or line (or the text).
+    A capitalised word is a name wherever it stands: at the start of a sentence both readings are possible, and as a
+    slot it also meets other names, while slot consistency still compares its value.
     """
-    if not _MEMO:
-        _MEMO.append(Memo(described))
-    lines = (text or "").encode().split(b"\n")
-    words = [line.split() for line in lines]
-    flat = [w for line in words for w in line]
-    if not flat:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    kind, value, ends = zip(*map(_MEMO[0].__getitem__, flat))
-    kind, value = np.array(kind, np.int64), np.array(value, np.uint64)
-    begins = np.r_[1, np.array(ends[:-1], np.int64)].astype(bool)
-    sizes = np.cumsum([len(line) for line in words])
-    begins[np.minimum(sizes[sizes < len(flat)], len(flat) - 1)] = True
-    kind = np.where(kind == 4, np.where(begins, PLAIN, NAME), kind)
-    return kind, np.where(kind == PLAIN, value, mix(kind.astype(np.uint64))), value
+    memo = held("decontaminate", lambda: Memo(described))
+    words = (b" " + PART + b" ").join([(t or "").encode() for t in texts]).split()
+    value = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    parts = value == np.uint64(PARTED)
+    text_of = np.cumsum(parts)[~parts]
+    value = value[~parts]
+    kind = (value & np.uint64(3)).astype(np.int8)
+    return text_of, value, np.where(kind == PLAIN, value, _PLACEHOLDERS[kind])
+
+
+def kinds(value: np.ndarray) -> np.ndarray:
+    return (value & np.uint64(3)).astype(np.int8)
 
 
 def bits_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,12 +105,18 @@ def windows_at(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
-def plain_words(kind: np.ndarray, k: int) -> np.ndarray:
+def plain_words(value: np.ndarray, k: int) -> np.ndarray:
     """The number of plain words in each k-word window."""
-    n = np.r_[0, np.cumsum(kind == PLAIN)]
+    n = np.r_[0, np.cumsum(kinds(value) == PLAIN)]
     return n[k:] - n[:-k]
 
 
+def template_windows(shape: np.ndarray, k: int, size: int) -> np.ndarray:
+    """Hashes of k-word windows; of items shorter than ``size``, windows of another length never meet."""
+    h = windows(shape, k)
+    return h if k == size else mix(h + np.uint64(k))
+
+
 def among(array: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Places of ``h`` that pass the bit array."""
     a, b = bits_of(h)
@@ -110,50 +124,74 @@ def among(array: np.ndarray, h: np.ndarray) -> np.ndarray:
     return hit[(array[b[hit] >> 3] >> (b[hit] & 7) & 1).astype(bool)]
 
 
-ITEM_WINDOWS = "item_id bigint, words int, size int, at int, hash bigint, kinds binary, slots binary, opens boolean"
-DOC_WINDOWS = "doc_id bigint, at int, hash bigint, slots binary, opens boolean"
+ITEM_WINDOWS = "item_id bigint, words int, size int, at int, hash bigint, slots binary, opens boolean"
+DOC_WINDOWS = "doc_id bigint, tie bigint, at int, hash bigint, slots binary, opens boolean"
+
+
+def slot_pattern(value: np.ndarray) -> bytes:
+    """For each word its value, or for a slot its kind and the place where its value occurs first: equal for equal templates."""
+    kind = kinds(value)
+    _, first, of = np.unique(value, return_index=True, return_inverse=True)
+    return np.where(kind == PLAIN, value, _PLACEHOLDERS[kind] + first[of].astype(np.uint64)).tobytes() + kind.tobytes()
+
+
+def named_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item_id, first, text): every different text, with the smallest id of its template and that item's text."""
+    schema = "id bigint, text string, template binary"
+    out = arrow_schema(items.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            rows = [(i, t, hashlib.blake2b(slot_pattern(v), digest_size=16).digest()) for i, t in zip(ids, texts) if len(v := templates([t])[1])]
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out)
+
+    found = stored(items.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, schema), "items")
+    first = found.groupBy("template").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text")).alias("x"))
+    return found.select("template", "text").distinct().join(first, "template").select(F.col("x.id").alias("item_id"), F.col("x.text").alias("first"), "text")
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """Windows of every item: its template hash, kinds and values. Items with one text are one.
+    """Windows of every template, with the slot values of its first item.
 
-    Windows that don't open an alignment by their template have a second row, which opens one by the hash of the values.
+    Windows that don't open an alignment by their template have further rows, which open one by the hash of the values
+    that one of the template's items has there.
     """
     out = arrow_schema(items.sparkSession, ITEM_WINDOWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
-                kind, shape, value = template(text)
-                n = len(kind)
-                if not n:
-                    continue
+            for item, first, text in zip(*(c.to_pylist() for c in batch.columns)):
+                (_, value, shape), mine = templates([first]), templates([text])[1]
+                n = len(value)
                 k = min(size, n)
-                h = windows(shape, k) if n >= size else mix(windows(shape, k) + np.uint64(n))
-                opens = 2 * plain_words(kind, k) >= k
+                h = template_windows(shape, k, size)
+                opens = 2 * plain_words(value, k) >= k
                 opens = opens if opens.any() else np.ones(len(h), bool)
-                exact = mix(windows(value, k) ^ VALUES)
+                exact = mix(windows(mine, k) ^ VALUES)
                 for i in range(len(h)):
-                    at = (item, n, k, i), (kind[i : i + k].astype(np.int8).tobytes(), value[i : i + k].tobytes())
-                    rows.append((*at[0], int(as_long(h)[i]), *at[1], bool(opens[i])))
+                    slots = value[i : i + k].tobytes()
+                    if text == first:
+                        rows.append((item, n, k, i, int(as_long(h)[i]), slots, bool(opens[i])))
                     if not opens[i]:
-                        rows.append((*at[0], int(as_long(exact)[i]), *at[1], True))
+                        rows.append((item, n, k, i, int(as_long(exact)[i]), slots, True))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out)
 
-    found = items.mapInArrow(run, ITEM_WINDOWS)
-    return found
-
-
-def distinct_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return items.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).cast("bigint").alias("item_id")).select("item_id", "text")
+    return items.select("item_id", "first", "text").mapInArrow(run, ITEM_WINDOWS).distinct()
 
 
 def leaked(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 8, coverage: float = 0.7, broadcast_rows: int = 200_000) -> DataFrame:
-    """doc_id, item_id, matched_words, item_words, replaced_slots: consistent leaks of at least ``coverage``."""
+    """doc_id, tie, item_id, matched_words, item_words, replaced_slots: consistent leaks of at least ``coverage``.
+
+    tie: the text's key, as one id may stand for several texts.
+    """
     spark = docs.sparkSession
-    targets = stored(item_windows(distinct_items(items, item_id, item_text), size), "item-windows")
+    targets = stored(item_windows(named_items(items, item_id, item_text), size), "item-windows")
     short = sorted(r.size for r in targets.where(F.col("size") < size).select("size").distinct().collect())  # sizes below the window
     h = F.col("hash")
     first = F.shiftrightunsigned(h, 64 - BITS)
@@ -172,54 +210,61 @@ def leaked(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_co
         opening, others = seen.value
         for batch in batches:
             for lo, hi in slices(batch.columns, batch.num_rows):
-                rows = []
-                for doc, text in zip(*(c.slice(lo, hi - lo).to_pylist() for c in batch.columns)):
-                    kind, shape, value = template(text)
-                    for k in (*short, size):
-                        if len(kind) < k:
-                            continue
-                        h = windows(shape, k) if k == size else mix(windows(shape, k) + np.uint64(k))
-                        hit = among(opening, h)
-                        met = [(hit, h[hit], True)]
-                        heavy = np.flatnonzero(2 * plain_words(kind, k) < k) if k == size else hit[:0]
-                        if len(heavy):
-                            exact = mix(windows_at(value, heavy, k) ^ VALUES)
-                            same = among(opening, exact)
-                            met.append((heavy[same], exact[same], True))
-                            start = np.union1d(hit, heavy[same])
-                            # no alignment reaches further from a window that opens it than the longest item
-                            if len(start):
-                                after = start[np.minimum(np.searchsorted(start, heavy), len(start) - 1)]
-                                before = start[np.maximum(np.searchsorted(start, heavy, "right") - 1, 0)]
-                                heavy = heavy[np.minimum(abs(after - heavy), abs(heavy - before)) < longest]
-                                heavy = heavy[among(others, h[heavy])]
-                                met.append((heavy, h[heavy], False))
-                        rows += [(doc, i, x, value[i : i + k].tobytes(), opens) for at, of, opens in met for i, x in zip(at.tolist(), as_long(of).tolist())]
+                docs, ties, texts = (c.slice(lo, hi - lo).to_pylist() for c in batch.columns)
+                text_of, value, shape = templates(texts)
+                first = np.searchsorted(text_of, np.arange(len(texts)))
+                rows: list = []
+                for k in (*short, size):
+                    if len(value) < k:
+                        continue
+                    inside = text_of[k - 1 :] == text_of[: len(text_of) - k + 1]
+                    h = template_windows(shape, k, size)
+                    hit = among(opening, h)
+                    hit = hit[inside[hit]]
+                    met = [(hit, h[hit], True)]
+                    heavy = np.flatnonzero(inside & (2 * plain_words(value, k) < k)) if k == size else hit[:0]
+                    if len(heavy):
+                        exact = mix(windows_at(value, heavy, k) ^ VALUES)
+                        same = among(opening, exact)
+                        met.append((heavy[same], exact[same], True))
+                        start = np.union1d(hit, heavy[same])
+                        # no alignment reaches further from a window that opens it than the longest item
+                        if len(start):
+                            after = start[np.minimum(np.searchsorted(start, heavy), len(start) - 1)]
+                            before = start[np.maximum(np.searchsorted(start, heavy, "right") - 1, 0)]
+                            heavy = heavy[np.minimum(abs(after - heavy), abs(heavy - before)) < longest]
+                            heavy = heavy[among(others, h[heavy])]
+                            met.append((heavy, h[heavy], False))
+                    for at, of, opens in met:
+                        rows += [(docs[d], ties[d], i - b, x, value[i : i + k].tobytes(), opens) for i, x, d, b in zip(at.tolist(), as_long(of).tolist(), text_of[at].tolist(), first[text_of[at]].tolist())]
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out)
 
-    hits = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, DOC_WINDOWS)
+    text = F.col(text_col)
+    hits = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text).alias("tie"), text.alias("text")).where("text is not null").mapInArrow(run, DOC_WINDOWS)
     hits = stored(hits, "window-hits")
     right = targets.withColumnsRenamed({"at": "item_at", "slots": "item_slots"})
     few = targets.count() <= broadcast_rows
 
     def with_items(left: DataFrame, items: DataFrame, on: str, *spread: str) -> DataFrame:
+        same = F.col(on).eqNullSafe(F.col("_on"))
+        items = items.withColumnRenamed(on, "_on")
         if few:
-            return left.join(F.broadcast(items), on)
+            return left.join(F.broadcast(items), same)
         salts = 16
         salted = left.withColumn("salt", F.pmod(F.hash(*spread), F.lit(salts)))
-        return salted.join(items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [on, "salt"])
+        spread_items = items.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return salted.join(spread_items, same & (F.col("salt") == F.col("_salt")))
 
     # each window alone: values of plain words were compared by the hash, slots are kept for the alignment
-    names = ["doc_id", "item_id", "shift", "item_at", "words", "size", "kinds", "slots", "item_slots"]
-    met = with_items(hits.where("opens").drop("opens"), right.where("opens"), "hash", "doc_id", "at").withColumn("shift", F.col("at") - F.col("item_at")).select(*names)
+    names = ["doc_id", "tie", "item_id", "shift", "item_at", "words", "size", "slots", "item_slots"]
+    met = with_items(hits.where("opens").drop("opens"), right.where("opens"), "hash", "doc_id", "tie", "at").withColumn("shift", F.col("at") - F.col("item_at")).select(*names)
     met = stored(met, "met-windows")
     # the other windows of what is open: each has one place in the document
-    wanted = with_items(met.select("doc_id", "item_id", "shift").distinct(), right.where("not opens").drop("opens"), "item_id", "doc_id", "shift").withColumn("at", F.col("shift") + F.col("item_at"))
-    there = hits.where("not opens").select(F.col("doc_id").alias("_doc"), F.col("at").alias("_at"), F.col("hash").alias("_hash"), "slots")
-    more = wanted.join(there, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("at") == F.col("_at")) & (F.col("hash") == F.col("_hash"))).select(*names)
-    met = met.union(more)
-    return consistent(met, coverage)
+    wanted = with_items(met.select("doc_id", "tie", "item_id", "shift").distinct(), right.where("not opens").drop("opens"), "item_id", "doc_id", "tie", "shift").withColumn("at", F.col("shift") + F.col("item_at"))
+    there = hits.where("not opens").select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), F.col("at").alias("_at"), F.col("hash").alias("_hash"), "slots")
+    more = wanted.join(there, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")) & (F.col("at") == F.col("_at")) & (F.col("hash") == F.col("_hash"))).select(*names)
+    return consistent(met.union(more), coverage)
 
 
 def consistent(met: DataFrame, coverage: float) -> DataFrame:
@@ -229,21 +274,22 @@ def consistent(met: DataFrame, coverage: float) -> DataFrame:
     counted; a window is consistent if each of its pairs is the most frequent one of its item value (ties: the
     smallest), and then its words are covered.
     """
-    schema = "doc_id bigint, item_id bigint, shift int, item_at int, words int, size int, kind array<struct<k:int,d:bigint,i:bigint>>"
+    schema = "doc_id bigint, tie bigint, item_id bigint, shift int, item_at int, words int, size int, kind array<struct<k:int,d:bigint,i:bigint>>"
     out = arrow_schema(met.sparkSession, schema)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, item, shift, at, n, k, kinds, d, i in zip(*(c.to_pylist() for c in batch.columns)):
-                t, d, i = np.frombuffer(kinds, np.int8), np.frombuffer(d, np.int64), np.frombuffer(i, np.int64)
-                rows.append((doc, item, shift, at, n, k, [{"k": int(t[j]), "d": int(d[j]), "i": int(i[j])} for j in np.flatnonzero(t)]))
+            for doc, tie, item, shift, at, n, k, d, i in zip(*(c.to_pylist() for c in batch.columns)):
+                d, i = np.frombuffer(d, np.int64), np.frombuffer(i, np.int64)
+                t = kinds(i.view(np.uint64))
+                rows.append((doc, tie, item, shift, at, n, k, [{"k": int(t[j]), "d": int(d[j]), "i": int(i[j])} for j in np.flatnonzero(t)]))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out)
 
     found = met.distinct().mapInArrow(pairs, schema)
     # an alignment holds at most as many windows as the item, so its list is bounded by the item's length
-    grouped = found.groupBy("doc_id", "item_id", "shift").agg(F.max("words").alias("words"), F.array_sort(F.collect_set(F.struct("item_at", "size", "kind"))).alias("w"))
+    grouped = found.groupBy("doc_id", "tie", "item_id", "shift").agg(F.max("words").alias("words"), F.array_sort(F.collect_set(F.struct("item_at", "size", "kind"))).alias("w"))
     every = F.flatten(F.transform("w", lambda x: x["kind"]))
     ok = lambda x: F.forall(x["kind"], lambda s: ~F.exists("_every", lambda o: (o["k"] == s["k"]) & (o["i"] == s["i"]) & (o["d"] != s["d"])) | (F.element_at("_best", F.concat_ws(":", s["k"], s["i"])) == s["d"]))
     distinct = F.array_distinct(F.transform("_every", lambda s: F.concat_ws(":", s["k"], s["i"])))
@@ -257,16 +303,15 @@ def consistent(met: DataFrame, coverage: float) -> DataFrame:
     scored = scored.withColumn("_good", F.filter("w", ok))
     covered = F.size(F.array_distinct(F.flatten(F.transform("_good", lambda x: F.sequence(x["item_at"], x["item_at"] + x["size"] - 1)))))
     changed = F.size(F.array_distinct(F.transform(F.filter(F.flatten(F.transform("_good", lambda x: x["kind"])), lambda s: s["d"] != s["i"]), lambda s: F.concat_ws(":", s["k"], s["i"]))))
-    scored = scored.select("doc_id", "item_id", covered.alias("matched_words"), F.col("words").alias("item_words"), changed.alias("replaced_slots"))
+    scored = scored.select("doc_id", "tie", "item_id", covered.alias("matched_words"), F.col("words").alias("item_words"), changed.alias("replaced_slots"))
     enough = scored.where(F.col("matched_words") >= coverage * F.col("item_words"))
-    return enough.groupBy("doc_id", "item_id").agg(F.max("matched_words").cast("bigint").alias("matched_words"), F.max("item_words").cast("bigint").alias("item_words"), F.min("replaced_slots").cast("bigint").alias("replaced_slots"))
+    return enough.groupBy("doc_id", "tie", "item_id").agg(F.max("matched_words").cast("bigint").alias("matched_words"), F.max("item_words").cast("bigint").alias("item_words"), F.min("replaced_slots").cast("bigint").alias("replaced_slots"))
 
 
-def drop_leaked(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` without documents that hold an item; all columns as they were."""
-    bad = leaked(docs, items, **how).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+def drop_leaked(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no item; all columns as they were."""
+    return anti_join(docs, leaked(docs, items, id_col=id_col, text_col=text_col, **how), id_col, text_col)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tie")
