@@ -1,21 +1,24 @@
 """Operator 7: near duplicates by chosen-path similarity join, confirmed on full sets.
 
-1. Texts with one shingle set are one node (the smallest id); every node gets minwise tokens.
-2. Trees branch nodes by chosen minwise tokens: first on ``depth`` of them at once, then large branches again, each
-   into several children, until they are small or can be compared in a few blocks. Independent trees repeat this until
-   a pair at the threshold is missed with probability ``miss`` at most, whatever the number of levels. Small branches are compared exhaustively by their tokens, with a margin
-   of five standard deviations below the threshold. In large ones every document is compared with a few pivots.
-   Documents near the main pivots are in one cluster and needn't meet each other; only what lies apart goes on, with
-   those that are not so near to a main pivot that all their partners must have met it as well.
-3. What has met forms clusters. A cluster reads the whole texts of its nodes once, and links are confirmed on full
+1. Texts with one shingle set are one node, named by 64 bits of a hash of the set; every node gets 128 minwise tokens.
+2. Trees branch nodes by chosen minwise tokens, one token a level: the root into one child a token for each of ``trees``
+   tokens, and every branch of more than ``small`` nodes again on two or one further tokens in turn. Branches of at most
+   ``small`` nodes are compared exhaustively by their tokens, with a margin of five standard deviations below the
+   threshold. The number of trees is such that a pair at the threshold is missed with probability ``miss`` at most,
+   whatever the number of levels. In large branches every node is compared with a few pivots first: nodes near the main
+   pivots are in one cluster and needn't meet each other; only what lies apart goes on, with those that are not so near
+   to a main pivot that all their partners must have met it as well.
+3. What has met forms clusters. A cluster reads one whole text of each of its nodes, and links are confirmed on full
    sets: counts of one document against all others at a time, for all documents outside the largest component, so
    that no pair of different components stays uncompared, and copies aren't expanded into pairs. Clusters beyond a
    bounded number of shingles do the same in blocks.
 
 Result: one row per document with its set size and component. Nulls: a null text has an empty set, like a text without
-words, and is linked with nothing; documents without an id are linked like others, but an id of null is never a
-component's (if no other is there, the component is null). Repeated rows are copies. An empty table gives no rows.
-Other columns are not read.
+words, and is linked with nothing. Documents link by their texts, whatever their ids: those that share an id or have
+none are linked like others. A component is named by its smallest id that isn't null, and by null only if it has no
+other. Repeated rows (id and text) are one document. Ties: of a component's documents under the smallest id, the one
+with the smallest text key stands for it. An empty table gives no rows. Other columns are not read. A text of any
+length is held whole, with eight bytes a shingle.
 """
 
 from __future__ import annotations
@@ -28,31 +31,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_schema, components, map_groups, mix, slices, stored, table, windows, word_hash
+from .common import Memo, anti_join, arrow_schema, components, drop_stored, held, map_groups, mix, slices, stored, table, text_key, windows, word_hash
 
 TOKENS = 128
-SKETCH = "doc_id bigint, n_shingles bigint, cls binary, sig binary, nodes array<bigint>"
+SKETCH = "doc_id bigint, tie bigint, n_shingles bigint, node bigint, sig binary, nodes array<bigint>"
 _RNG = np.random.default_rng(20240607)
 _XOR = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64)
 _MUL = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1)
-_WORDS: list = []
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct hashes of a text's k-word shingles; of fewer words the whole sequence is one."""
-    if not _WORDS:
-        _WORDS.append(Memo(word_hash))
+    memo = held("neardup", lambda: Memo(word_hash))
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.array(list(map(_WORDS[0].__getitem__, words)), np.uint64)
+    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     if len(h) < k:
         return mix(windows(h, len(h)) + np.uint64(len(h)))
     return np.unique(windows(h, k))
 
 
-def sketch(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
-    """Per document: set size, a 128-bit hash of the set, minwise tokens of 8 bits each, and a node for each tree."""
+def sketch(docs: DataFrame, k: int, trees: int) -> DataFrame:
+    """Per document (doc_id, tie, text): set size, its node, minwise tokens of 8 bits each, and its branch in each tree."""
     out = arrow_schema(docs.sparkSession, SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,8 +61,8 @@ def sketch(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
 
         for batch in batches:
             for lo, hi in slices(batch.columns, batch.num_rows, 1 << 20):
-                ids, texts = (c.slice(lo, hi - lo).to_pylist() for c in batch.columns)
-                sets = [shingles(t, k) for t in texts]
+                part = batch.slice(lo, hi - lo)
+                sets = [shingles(t, k) for t in part.column(2).to_pylist()]
                 size = np.array([len(s) for s in sets])
                 has = np.flatnonzero(size)
                 sig = np.zeros((len(sets), TOKENS), np.uint8)
@@ -74,18 +75,13 @@ def sketch(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
                         least[t] = np.minimum.reduceat((flat ^ _XOR[t]) * _MUL[t], first)
                     least = mix(least)
                     sig[has] = (least & np.uint64(255)).astype(np.uint8).T
-                    keys = np.empty((trees, len(has)), np.uint64)
-                    for t in range(trees):
-                        x = np.full(len(has), t + 1, np.uint64)
-                        for d in range(depth):
-                            x = mix(x * np.uint64(3) + least[(t * depth + d) % TOKENS])
-                        keys[t] = x
+                    keys = mix(least[np.arange(trees) % TOKENS] + np.arange(1, trees + 1, dtype=np.uint64)[:, None])
                     for i, row in zip(has.tolist(), np.ascontiguousarray(keys.T).view(np.int64).tolist()):
                         nodes[i] = row
-                cls = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets]
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(cls, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], schema=out)
+                node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                yield pa.record_batch([*part.columns[:2], pa.array(size, pa.int64()), pa.array(node), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], schema=out)
 
-    return docs.mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "tie", "text").mapInArrow(run, SKETCH)
 
 
 def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float, similarity: float, estimates: bool = False):
@@ -134,26 +130,72 @@ def tokens_of(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), TOKENS)
 
 
-def meet_all(least: float, similarity: float):
-    """All pairs of a small branch (id, n, sig): links that span what may be similar."""
+LINKS = "a bigint, b bigint"
 
-    def f(_, cols):
-        ids, n, sigs = cols
-        if len(ids) < 2:
-            return []
-        s, n = tokens_of(sigs), np.array(n, float)
-        root = linked(close(s, s, n, n, least, similarity))
-        return [(ids[i], ids[r]) for i, r in enumerate(root.tolist()) if r != i]
 
-    return f
+def meet_all(rows: DataFrame, key: str, least: float, similarity: float) -> DataFrame:
+    """All pairs of small branches (key, id, n, sig): links (a, b) that span what may be similar.
+
+    Whole branches are compared in bulk: neighbours at distance 1, 2, 3 .. of the sorted rows, as far as branches reach.
+    """
+    out = arrow_schema(rows.sparkSession, LINKS)
+    need = int(np.ceil(TOKENS * (least * (1 - 1 / 256) + 1 / 256) - 1e-9))  # equal tokens
+
+    def spans(key: np.ndarray, ids: np.ndarray, n: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        a, b, d = [], [], 1
+        at = np.flatnonzero(key[1:] == key[:-1])
+        while len(at):
+            for lo in range(0, len(at), 1 << 15):
+                i = at[lo : lo + (1 << 15)]
+                x, y = n[i], n[i + d]
+                i = i[np.minimum(x, y) >= (similarity - 1e-9) * np.maximum(x, y)]
+                i = i[np.add.reduce(sig[i] == sig[i + d], axis=1, dtype=np.uint8) >= need]
+                a.append(i)
+                b.append(i + d)
+            d += 1
+            at = at[at + d < len(key)]
+            at = at[key[at] == key[at + d]]
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+        root = np.arange(len(key))
+        while True:  # the least member of each row's component
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        hit = np.flatnonzero(root != np.arange(len(key)))
+        return pa.record_batch([pa.array(ids[hit]), pa.array(ids[root[hit]])], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list | None = None
+        for batch in batches:
+            got = [*(batch.column(i).to_numpy() for i in range(3)), tokens_of(batch.column(3).to_pylist())]
+            got = [np.concatenate(x) for x in zip(rest, got)] if rest else got
+            if not len(got[0]):
+                continue
+            open_at = int(np.searchsorted(got[0], got[0][-1]))
+            if open_at:
+                yield spans(*(x[:open_at] for x in got))
+            rest = [x[open_at:] for x in got]
+        if rest:
+            yield spans(*rest)
+
+    return rows.select(key, "id", "n", "sig").repartition(key).sortWithinPartitions(key).mapInArrow(run, LINKS)
 
 
 LEVELS = 24
 
 
 def branching(level: int) -> int:
-    """Children of a large branch; two at deep levels, as with one each level would lose pairs."""
-    return 3 if level < 2 else 2
+    """Children of a large branch: two and one in turn.
+
+    With one child each level would lose pairs; with two at every level documents that share less than the threshold
+    would multiply. Two every other level keep a pair at a similarity of 0.71 or more alive at any depth.
+    """
+    return 2 - level % 2
 
 
 def together(similarity: float, levels: int = LEVELS) -> float:
@@ -164,43 +206,50 @@ def together(similarity: float, levels: int = LEVELS) -> float:
     return p
 
 
-def candidates(reps: DataFrame, similarity: float, *, small: int = 512, pivots: int = 8, levels: int = LEVELS, blocks: int = 8) -> DataFrame:
+def candidates(reps: DataFrame, similarity: float, *, small: int = 128, pivots: int = 8, levels: int = LEVELS, blocks: int = 8) -> DataFrame:
     """Links (a, b) between nodes (id, n, sig, nodes) that may be similar; reps must be a stored frame."""
     sigma = math.sqrt(similarity * (1 - similarity) / TOKENS)
     least = similarity - 5 * sigma
-    links = "a bigint, b bigint"
     plain = reps.select("id", "n", "sig")
     members = reps.select("id", F.explode("nodes").alias("node"))
     found: list[DataFrame] = []
     for level in range(levels + 1):
         sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        members = stored(members.join(sizes, "node"), "branches")
+        whole, members = members, stored(members.join(sizes.hint("merge"), "node"), "branches")
+        if level:
+            drop_stored(whole)
         few, many = members.where(F.col("size") <= small).join(plain, "id"), members.where(F.col("size") > small)
-        found.append(stored(map_groups(few.select("node", "id", "n", "sig"), "node", meet_all(least, similarity), links).distinct(), "met"))
+        found.append(stored(meet_all(few, "node", least, similarity).distinct(), "met"))
         if not many.limit(1).count():
+            drop_stored(members)
             break
-        many = stored(many.join(plain, "id"), "large-branches")
+        large = stored(many.join(plain, "id"), "large-branches")
+        drop_stored(members)
         if level == levels:  # what has not split by now is compared block by block
-            found.append(in_blocks(many, small, meet_all(least, similarity), links))
+            found.append(stored(in_blocks(large, small, least, similarity).distinct(), "met"))
+            drop_stored(large)
             break
+        many = large
         if level >= 2:  # and so is what makes a few blocks
-            found.append(stored(in_blocks(many.where(F.col("size") <= blocks * small), small, meet_all(least, similarity), links).distinct(), "met"))
+            found.append(stored(in_blocks(many.where(F.col("size") <= blocks * small), small, least, similarity).distinct(), "met"))
             many = many.where(F.col("size") > blocks * small)
         # pivots: the least hash in each of a few classes of hashes, found with a map-side combine
         h = F.xxhash64("id", "node")
         chosen = many.groupBy("node", F.pmod(h, F.lit(pivots)).alias("p")).agg(F.min_by(F.struct("id", "n", "sig"), h).alias("x")).groupBy("node").agg(F.collect_list("x").alias("pivots"))
-        met = stored(against_pivots(many.join(chosen, "node"), least, similarity), "met")
-        found.append(met.select("a", F.explode("bs").alias("b")).distinct())
+        met = stored(against_pivots(many.join(chosen.hint("merge"), "node"), least, similarity), "met-pivots")
+        found.append(stored(met.select("a", F.explode("bs").alias("b")).distinct(), "met"))
         # what is near the branch's main pivots has met; what isn't has to meet all that isn't settled
         apart = met.where("not main").groupBy("node").agg(F.count("*").alias("apart"))
         rest = stored(met.where("not settled").join(apart, "node").select(F.col("a").alias("id"), "node", "n", "sig", "main", "apart"), "unsettled")
+        drop_stored(large, met)
         last = rest.where(F.col("apart") <= small)
         others = last.where("not main").groupBy("node").agg(F.collect_list(F.struct("id", "n", "sig")).alias("pivots"))
-        found.append(stored(against_pivots(last.join(others, "node"), least, similarity, similarity).select("a", F.explode("bs").alias("b")).distinct(), "met"))
+        found.append(stored(against_pivots(last.join(others.hint("merge"), "node"), least, similarity, similarity).select("a", F.explode("bs").alias("b")).distinct(), "met"))
         child = rest.where(F.col("apart") > small).select("id", "node", "sig", F.explode(F.sequence(F.lit(0), F.lit(branching(level) - 1))).alias("j"))
         # children of one branch differ in their token
         place = F.pmod(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(TOKENS)) + 43 * F.col("j"), F.lit(TOKENS)).cast("int") + 1
-        members = child.select("id", F.xxhash64("node", "j", F.lit(level), F.col("sig").substr(place, F.lit(1))).alias("node"))
+        members = stored(child.select("id", F.xxhash64("node", "j", F.lit(level), F.col("sig").substr(place, F.lit(1))).alias("node")), "children")
+        drop_stored(rest)
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -248,13 +297,13 @@ def against_pivots(rows: DataFrame, least: float, similarity: float, ratio: floa
     return rows.select(F.col("id").alias("a"), "node", "n", "sig", "pivots").mapInArrow(run, schema)
 
 
-def in_blocks(many: DataFrame, small: int, f, schema: str) -> DataFrame:
+def in_blocks(many: DataFrame, small: int, least: float, similarity: float) -> DataFrame:
     """All pairs of blocks of a branch, each pair of blocks in a group of its own."""
     k = F.ceil(F.col("size") / small).cast("bigint")
     mine = many.withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")))
     cells = mine.withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
     cells = cells.withColumn("cell", F.xxhash64("node", F.least("c", "o"), F.greatest("c", "o")))
-    return map_groups(cells.select("cell", "id", "n", "sig"), "cell", f, schema)
+    return meet_all(cells, "cell", least, similarity)
 
 
 def confirm(sets: list[np.ndarray], percent: int, todo: np.ndarray | None = None) -> Union:
@@ -302,86 +351,101 @@ def confirm(sets: list[np.ndarray], percent: int, todo: np.ndarray | None = None
 
 
 def confirm_groups(rows: DataFrame, key: str, k: int, percent: int) -> DataFrame:
-    """(a, b): confirmed links that span each group's components. rows: key, id, cls, todo, text."""
+    """(a, b): confirmed links that span each group's components. rows: key, id, todo, text."""
 
     def f(_, cols):
-        import xxhash
-
-        ids, cls, todo, texts = cols
-        sets, seen = [], {}
-        for i, c, t, text in zip(ids, cls, todo, texts):
-            s = shingles(text, k)
-            # an id may stand for several texts; the group wants that of the node
-            if xxhash.xxh3_128_digest(s.tobytes()) == c and i not in seen:
-                seen[i] = t
-                sets.append(s)
-        if len(sets) < 2:
+        ids, todo, texts = cols
+        if len(ids) < 2:
             return []
-        names, flags = list(seen), np.array(list(seen.values()))
-        u = confirm(sets, percent, None if not flags.any() else flags == 2)
-        return [(names[i], names[u.find(i)]) for i in range(len(names)) if u.find(i) != i]
+        flags = np.array(todo)
+        u = confirm([shingles(t, k) for t in texts], percent, None if not flags.any() else flags == 2)
+        return [(ids[i], ids[u.find(i)]) for i in range(len(ids)) if u.find(i) != i]
 
-    return map_groups(rows.select(key, "id", "cls", "todo", "text"), key, f, "a bigint, b bigint")
+    return map_groups(rows.select(key, "id", "todo", "text"), key, f, LINKS, unique="id")
 
 
 def confirmed(clusters: DataFrame, texts: DataFrame, k: int, percent: int, most: int) -> DataFrame:
-    """Confirmed links. clusters: stored (id, cluster, cls, n); most: shingles that one group may hold."""
+    """Confirmed links. clusters: stored (id, cluster, n, doc_id, tie); most: shingles that one group may hold."""
     weight = clusters.groupBy("cluster").agg(F.sum("n").alias("weight"))
     sized = stored(clusters.join(weight, "cluster"), "clusters")
-    spark = clusters.sparkSession
+    who = ["id", "doc_id", "tie"]
+    named = texts.select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie"), "text").hint("merge")
     # a merge join at every size: the ids grow with the input, and one shuffle of texts is what it costs
-    with_text = lambda df: df.join(texts.hint("merge"), df["id"] == texts["doc_id"]).drop("doc_id")
-    whole = sized.where(F.col("weight") <= most).select(F.col("cluster").alias("cell"), "id", "cls", F.lit(0).alias("todo"))
+    with_text = lambda df: df.join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")))
+    whole = sized.where(F.col("weight") <= most).select(F.col("cluster").alias("cell"), *who, F.lit(0).alias("todo"))
     large = sized.where(F.col("weight") > most)
     if not large.limit(1).count():
         return stored(confirm_groups(with_text(whole), "cell", k, percent), "confirmed")
     # one shuffle of texts for the whole clusters and the first blocks of the large ones
     chunks = F.ceil(F.col("weight") * 2 / most).cast("bigint")
     large = large.withColumn("k", chunks).withColumn("c", F.pmod(F.xxhash64("id", F.lit(7)), F.col("k")))
-    first = large.select(F.xxhash64("cluster", "c").alias("cell"), "id", "cls", F.lit(0).alias("todo"))
+    first = large.select(F.xxhash64("cluster", "c").alias("cell"), *who, F.lit(0).alias("todo"))
     h = F.xxhash64("id", F.lit(11))
-    pivots = large.groupBy("cluster", F.pmod(h, F.lit(8)).alias("p")).agg(F.min_by(F.struct("id", "cls", "k"), h).alias("x")).select("cluster", "x.id", "x.cls", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("x.k") - 1)).alias("c"))
-    first = first.union(pivots.select(F.xxhash64("cluster", "c").alias("cell"), "id", "cls", F.lit(0).alias("todo"))).distinct()
+    pivots = large.groupBy("cluster", F.pmod(h, F.lit(8)).alias("p")).agg(F.min_by(F.struct(*who, "k"), h).alias("x")).select("cluster", "x.*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("x.k") - 1)).alias("c"))
+    first = first.union(pivots.select(F.xxhash64("cluster", "c").alias("cell"), *who, F.lit(0).alias("todo"))).distinct()
     links = stored(confirm_groups(with_text(whole.union(first)), "cell", k, percent), "confirmed")
     # then whatever is outside its cluster's largest component meets all of the cluster, block by block
     comp = components(links)
-    named = stored(large.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "components")
-    count = named.groupBy("cluster", "component").agg(F.count("*").alias("m"))
+    named_now = stored(large.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "components")
+    count = named_now.groupBy("cluster", "component").agg(F.count("*").alias("m"))
     top = count.groupBy("cluster").agg(F.max_by("component", F.struct("m", "component")).alias("top"))
-    outside = named.join(top, "cluster").where("component != top")
+    outside = named_now.join(top, "cluster").where("component != top")
     if not outside.limit(1).count():
         return links
     outside = stored(outside, "outside")
     # blocks of the outside documents, by their own weight
     own = outside.groupBy("cluster").agg(F.sum("n").alias("w")).select("cluster", F.ceil(F.col("w") * 2 / most).cast("bigint").alias("b"))
     each = outside.join(own, "cluster").withColumn("o", F.pmod(F.xxhash64("id", F.lit(13)), F.col("b")))
-    left = each.withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1))).select("cluster", "o", "c", "id", "cls", F.lit(2).alias("todo"))
-    right = named.join(own, "cluster").withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b") - 1))).select("cluster", "o", "c", "id", "cls", F.lit(1).alias("todo"))
-    cells = left.union(right).groupBy(F.xxhash64("cluster", "o", "c").alias("cell"), "id", "cls").agg(F.max("todo").alias("todo"))
+    left = each.withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1))).select("cluster", "o", "c", *who, F.lit(2).alias("todo"))
+    right = named_now.join(own, "cluster").withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b") - 1))).select("cluster", "o", "c", *who, F.lit(1).alias("todo"))
+    cells = left.union(right).groupBy(F.xxhash64("cluster", "o", "c").alias("cell"), *who).agg(F.max("todo").alias("todo"))
     return links.union(stored(confirm_groups(with_text(cells), "cell", k, percent), "confirmed"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, depth: int = 3, miss: float = 1e-6, most: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: components of documents whose sets have ``percent`` of their union in common."""
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-6, most: int = 400_000) -> DataFrame:
+    """doc_id, tie (the text's key), n_shingles, component_id, kept, stands: components of documents whose sets have
+    ``percent`` of their union in common. kept: the id names the component; stands: the document (id and text) that
+    stands for it, which exists in every component, without an id as well."""
     similarity = percent / 100
-    trees = math.ceil(math.log(miss) / math.log(1 - similarity**depth * together(similarity)))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(sketch(texts, words, trees, depth), "sketches")
-    reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))
-    reps = stored(reps, "sets")
+    trees = math.ceil(math.log(miss) / math.log(1 - similarity * together(similarity)))
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text).alias("tie"), text.alias("text"))
+    rows = stored(sketch(texts, words, trees), "sketches")
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    reps = rows.where("n_shingles > 0").groupBy("node").agg(F.min(who).alias("who"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))
+    reps = stored(reps.withColumnRenamed("node", "id"), "sets")
     clusters = components(candidates(reps, similarity))
-    clusters = stored(clusters.select("id", F.col("component").alias("cluster")).join(reps.select("id", "cls", "n"), "id"), "clusters")
+    clusters = stored(clusters.withColumnRenamed("component", "cluster").join(reps.select("id", "n", "who.doc_id", "who.tie"), "id"), "clusters")
     comp = components(confirmed(clusters, texts, words, percent, most))
-    named = reps.select("cls", "id").join(comp, "id", "left").select("cls", F.coalesce("component", "id").alias("component_id"))
-    found = rows.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    named = reps.select("id", "who").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = named.groupBy("component").agg(F.min("who").alias("first"))
+    named = stored(named.join(first, "component").select(F.col("id").alias("node"), "first"), "named")
+    found = rows.select("doc_id", "tie", "n_shingles", "node").join(named, "node", "left")
+    empty = F.col("n_shingles") == 0
+    component = F.when(empty, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    stands = empty | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie")))
+    return found.select("doc_id", "tie", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), stands.alias("stands"))
 
 
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stand for their component; all columns as they were. Rows without an id stay."""
-    gone = near_duplicates(docs, **how).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that stand for their component; all columns as they were. Texts without words stay."""
+    return anti_join(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("not stands"), id_col, text_col)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("tie", "stands")
+
+
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+#: The same rows in DuckDB: pairs that share a shingle, then the transitive closure of their links.
+ORACLE_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+    n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+    g AS (SELECT doc_id, hash(unnest(s)) AS g FROM s),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+    edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT DISTINCT a AS doc_id, a AS r FROM edges UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.r),
+    least AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+    SELECT n.doc_id, n.n AS n_shingles, coalesce(least.r, n.doc_id) AS component_id, coalesce(least.r, n.doc_id) = n.doc_id AS kept FROM n LEFT JOIN least ON least.doc_id = n.doc_id"""

@@ -83,11 +83,32 @@ def test_edge_cases(spark):
     got = result(df)
     assert got == brute(docs, 80)
     df = spark.createDataFrame([(1, "same text here"), (1, "same text here"), (None, "same text here"), (None, "alone")], "doc_id bigint, text string")
-    rows = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()), key=str)
-    assert rows == [(1, 1, True), (1, 1, True), (None, 1, False), (None, None, False)]
+    rows = sorted(((r.doc_id, r.component_id, r.kept, r.stands) for r in neardup.near_duplicates(df).collect()), key=str)
+    assert rows == [(1, 1, True, True), (1, 1, True, True), (None, 1, False, False), (None, None, False, True)]
     assert result(df.limit(0)) == []
 
 
+def test_texts_link_whatever_their_ids(spark):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    near = lambda w, k: " ".join([*w[:-k], *(f"x{k}" for _ in range(k))])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, near(a, 1)), (7, near(b, 1)), (None, near(a, 2)), (None, "c " * 40), (None, "c " * 40), (None, "c " * 41), (2, "alone here")]
+    df = spark.createDataFrame([(*r, i, "n") for i, r in enumerate(rows)], "doc_id bigint, text string, tie int, node string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(df).collect()}
+    assert got[5, 56] == got[7, 56] == got[None, 56] == 1 and got[None, 1] is None and got[2, 1] == 2
+    kept = neardup.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    ids = sorted(r.tie for r in kept.collect())
+    assert [i for i in ids if i < 5] in ([0, 1], [0], [1]) and 8 in ids and len([i for i in ids if 5 <= i <= 7]) in (1, 2)
+    assert {0, 1} <= set(ids)  # two components, each with a text of id 1
+    assert not {2, 3, 4} & set(ids)
+
+
+def test_very_long_texts(spark):
+    text = " ".join(map(str, range(300_000)))
+    rows = [(3, text), (4, text + " tail"), (5, "z" * 3_000_000), (6, " ".join(map(str, range(150_000))))]
+    assert result(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=85) == [(3, 299_996, 3, True), (4, 299_997, 3, False), (5, 1, 5, True), (6, 149_996, 6, True)]
+
+
 def test_dropping_keeps_one_of_each_component_and_all_columns(spark):
     docs = corpus(5, 80, 4)
     df = spark.createDataFrame([(i, t, "de") for i, t in docs], "doc_id bigint, text string, lang string")
@@ -112,7 +133,7 @@ def test_linked_and_confirm():
 
 def one_branch(df):
     """Nodes for ``candidates`` of one-word shingles, all in a single branch of a single tree."""
-    rows = neardup.sketch(df, 1, 1, 1).selectExpr("doc_id as id", "n_shingles as n", "sig", "array(7L) as nodes")
+    rows = neardup.sketch(df.selectExpr("doc_id", "0L as tie", "text"), 1, 1).selectExpr("doc_id as id", "n_shingles as n", "sig", "array(7L) as nodes")
     return stored(rows, "one-branch")
 
 
@@ -128,15 +149,37 @@ def test_subsets_of_a_large_groups_members_keep_their_links(spark):
     assert {c for _, _, c, _ in result(df, percent=85, words=1)} == {0}
 
 
+def test_recall_in_hot_branches(spark, monkeypatch):
+    """Documents that share most of a passage, too little to be near a pivot: links between them, at the threshold or a
+    little above it, have to survive a recursion of many levels."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(300)]
+    docs = []
+    for g in range(250):
+        own = [f"o{g}-{i}" for i in range(90)]
+        base = passage + own
+        docs.append((2 * g, " ".join(base)))
+        cut = rng.randint(18, 26)  # of 386 shingles; similarity 0.86 to 0.91
+        docs.append((2 * g + 1, " ".join(base[: 390 - cut] + [f"e{g}-{i}" for i in range(cut)])))
+    depth = []
+    whole, meet = neardup.candidates, neardup.meet_all
+    monkeypatch.setattr(neardup, "meet_all", lambda *a: depth.append(1) or meet(*a))
+    monkeypatch.setattr(neardup, "candidates", lambda reps, similarity: whole(reps, similarity, small=24, blocks=2))
+    got = {i: c for i, _, c, _ in result(spark.createDataFrame(docs, "doc_id bigint, text string"), percent=85)}
+    assert len(depth) >= 4  # levels
+    assert sum(got[2 * g] == got[2 * g + 1] for g in range(250)) >= 0.99 * 250
+    assert all(got[2 * g] == 2 * g for g in range(250))  # and groups with one passage stay apart
+
+
 def test_pairs_stay_together_in_deep_branches(spark):
     rng = np.random.default_rng(9)
     rows = []
-    for g in range(6):  # a branch each; members share tokens 0 of one another, and two of them 0.85 of all tokens
-        sig = np.where(rng.random((1200, neardup.TOKENS)) < 0.6, 0, rng.integers(1, 256, (1200, neardup.TOKENS)))
+    for g in range(6):  # a branch each in every tree; members share tokens 0 of one another, and two of them 0.85 of all tokens
+        sig = np.where(rng.random((600, neardup.TOKENS)) < 0.6, 0, rng.integers(1, 256, (600, neardup.TOKENS)))
         apart = rng.permutation(neardup.TOKENS)[:19]
         sig[:2] = 0
         sig[0, apart[:10]], sig[1, apart[10:]] = 1, 2
-        rows += [(2000 * g + i, 100, bytes(r.astype(np.uint8)), [g]) for i, r in enumerate(sig)]
+        rows += [(2000 * g + i, 100, bytes(r.astype(np.uint8)), [100 * g + t for t in range(8)]) for i, r in enumerate(sig)]
     reps = stored(spark.createDataFrame(rows, "id bigint, n bigint, sig binary, nodes array<bigint>"), "reps")
     comp = {r.id: r.component for r in components(neardup.candidates(reps, 0.85, small=4, pivots=2)).collect()}
     assert [comp.get(2000 * g, -1) == comp.get(2000 * g + 1, -2) for g in range(6)] == [True] * 6
