@@ -2,11 +2,13 @@
 
 Three base kinds are regular expressions. The method adds high-entropy strings: candidate runs of a character class
 are read with a sliding window whose Shannon entropy is kept by incremental counts (one count goes up, one goes
-down, and the sum of c * log2 c follows), and candidates on the allow list are suppressed. Entropy sums are whole
-numbers (millionths of a bit), so every engine and every order gives the same spans.
+down, and the sum of c * log2 c follows). Base spans and allow-listed parts are blanked before, so only what is left of
+a run is a candidate. Entropy sums are whole numbers (millionths of a bit), so every engine and every order gives the
+same spans.
 
 Offsets are code points, ends exclusive. Nulls: a null text is an empty text and has no spans. Repeated rows give equal
-results. An empty table gives no rows. Columns other than id and text are not read.
+results, whatever their ids. An empty table gives no rows. Columns other than id and text are not read. Time is linear
+in a text's length and spans; a text is held a few times over.
 """
 
 from __future__ import annotations
@@ -40,12 +42,14 @@ CLASSES = (
     EntropyClass("entropy_hex", "[0-9A-Fa-f]{20,}", "[0-9].*[A-Fa-f]|[A-Fa-f].*[0-9]", 20, 2.9),
     EntropyClass("entropy_base64", "[A-Za-z0-9+/_=-]{20,}", "[0-9].*[A-Za-z]|[A-Za-z].*[0-9]", 20, 3.7),
 )
-#: Suppressed candidates: UUIDs, placeholders, alphabets in order.
+#: Parts that are never scanned for entropy: UUIDs, placeholders, alphabets in order.
 ALLOWED = (
-    "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    "[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|[Xx]{8}",
+    "[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
+    "[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|[Xx]{8,}",
     "0123456789|[Aa][Bb][Cc][Dd][Ee][Ff][Gg][Hh]",
 )
+#: Values in a block of a running sum: appending to an array copies it, so long arrays are built of blocks.
+BLOCK = 256
 
 
 def terms(window: int) -> list[int]:
@@ -58,24 +62,78 @@ def limit(c: EntropyClass) -> int:
     return round(c.window * (math.log2(c.window) - c.bits) * 1e6)
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running(values: Column, combine) -> Column:
+    """For each of the numbers (0 or more) what those before it combine to, 0 for the first; in linear time."""
+    start = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("out"))
+
+    def block(v, k):
+        return F.aggregate(F.slice(v, k * BLOCK + 1, F.lit(BLOCK)), start, lambda acc, x: F.struct(combine(acc["now"], x).alias("now"), F.array_append(acc["out"], acc["now"]).alias("out")))
+
+    def joined_blocks(blocks):
+        before = F.aggregate(blocks, start, lambda acc, x: F.struct(combine(acc["now"], x["now"]).alias("now"), F.array_append(acc["out"], acc["now"]).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, before, lambda x, s: F.transform(x["out"], lambda n: combine(s, n))))
+
+    def whole(v):
+        last = F.ceil(F.size(v) / BLOCK).cast("int") - 1
+        return F.when(F.size(v) > 0, bound(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: block(v, k)), joined_blocks)).otherwise(F.array().cast("array<int>"))
+
+    return bound(values, whole)
+
+
+def parted(text: Column, pattern: str) -> Column:
+    """array<struct<gap, m>>: what lies before each leftmost match, and the match; the last has no match."""
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<at, m>>: all leftmost matches with their code point offsets, in order.
+    """array<struct<at, byte, m>>: all leftmost matches with their code point and byte offsets, in order.
 
     The pieces between matches come from a split by the same pattern, so lengths add up to offsets.
     """
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    none = F.array().cast("array<struct<at:int,m:string>>")
+    none = F.array().cast("array<struct<at:int,byte:int,m:string>>")
+    add = lambda a, b: a + b
 
-    def step(acc, p):
-        at = acc["next"] + F.length(p["gap"])
-        return F.when(p["m"].isNull(), acc).otherwise(F.struct((at + F.length(p["m"])).alias("next"), F.array_append(acc["found"], F.struct(at.alias("at"), p["m"].alias("m"))).alias("found")))
+    def located(pieces):
+        at, byte = (running(F.transform(pieces, lambda p: size(p["gap"]) + F.coalesce(size(p["m"]), F.lit(0))), add) for size in (F.length, F.octet_length))
+        every = F.arrays_zip(pieces.alias("p"), at.alias("at"), byte.alias("byte"))
+        found = F.filter(every, lambda x: x["p"]["m"].isNotNull())
+        return F.transform(found, lambda x: F.struct((x["at"] + F.length(x["p"]["gap"])).alias("at"), (x["byte"] + F.octet_length(x["p"]["gap"])).alias("byte"), x["p"]["m"].alias("m")))
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("next"), none.alias("found")), step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), bound(parted(text, pattern), located)).otherwise(none)
 
 
 def as_spans(found: Column, kind: str, rank: int) -> Column:
-    return F.transform(found, lambda x: F.struct(x["at"].alias("start"), F.lit(rank).alias("rank"), (x["at"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind")))
+    return F.transform(found, lambda x: span(x["at"], x["byte"], F.length(x["m"]), kind, rank))
+
+
+def span(at: Column, byte: Column, length: Column, kind: str, rank: int) -> Column:
+    """All kinds match ASCII only, so a span has as many bytes as code points."""
+    return F.struct(at.alias("start"), F.lit(rank).alias("rank"), (at + length).alias("end"), F.lit(kind).alias("kind"), byte.alias("byte"), (byte + length).alias("byte_end"))
+
+
+def rebuilt(text: Column, spans: Column, filled) -> Column:
+    """The text with ``filled(span, end)`` for each of its sorted spans; end: the byte where all spans before it end.
+
+    Cut from the bytes, where a place is found without reading what lies before it.
+    """
+
+    def cut(raw, s):
+        before = running(F.transform(s, lambda x: x["byte_end"]), F.greatest)
+        piece = lambda x, e: F.concat(F.substring(raw, e + 1, F.greatest(x["byte"] - e, F.lit(0))).cast("string"), filled(x, e))
+        rest = F.substring(raw, F.array_max(F.transform(s, lambda x: x["byte_end"])) + 1, F.octet_length(raw)).cast("string")
+        return F.array_join(F.concat(F.zip_with(s, before, piece), F.array(rest)), "")
+
+    return F.when(F.size(spans) > 0, bound(F.encode(text, "UTF-8"), lambda raw: bound(F.array_sort(spans), lambda s: cut(raw, s)))).otherwise(text)
+
+
+def blanked(text: Column, pattern: str) -> Column:
+    """The text with as many spaces for each match."""
+    return F.when(text.rlike(pattern), F.array_join(F.transform(parted(text, pattern), lambda p: F.concat(p["gap"], F.rpad(F.lit(""), F.coalesce(F.length(p["m"]), F.lit(0)), F.lit(" ")))), "")).otherwise(text)
 
 
 def hot_part(m: Column, c: EntropyClass) -> Column:
@@ -103,26 +161,26 @@ def hot_part(m: Column, c: EntropyClass) -> Column:
     return F.element_at(F.transform(F.array(codes), scan), 1)
 
 
-def entropy_spans(text: Column, base: Column, c: EntropyClass, rank: int, allowed: tuple[str, ...]) -> Column:
-    """Spans of hot candidates that no base span overlaps and the allow list doesn't name."""
-
-    def wanted(x):
-        ok = x["m"].rlike(c.needs)
-        for p in allowed:
-            ok = ok & ~x["m"].rlike(p)
-        end = x["at"] + F.length(x["m"])
-        return ok & ~F.exists(base, lambda b: (b["start"] < end) & (b["end"] > x["at"]))
-
-    hot = F.filter(F.transform(F.filter(matches(text, c.pattern), wanted), lambda x: F.struct(x["at"].alias("at"), hot_part(x["m"], c).alias("part"))), lambda x: x["part"]["first"] >= 0)
-    return F.transform(hot, lambda x: F.struct((x["at"] + x["part"]["first"]).alias("start"), F.lit(rank).alias("rank"), (x["at"] + x["part"]["last"] + c.window).alias("end"), F.lit(c.kind).alias("kind")))
+def entropy_spans(text: Column, c: EntropyClass, rank: int) -> Column:
+    """Spans of hot candidates of a text from which base spans and allow-listed parts were blanked."""
+    wanted = F.filter(matches(text, c.pattern), lambda x: x["m"].rlike(c.needs))
+    hot = F.filter(F.transform(wanted, lambda x: F.struct(x["at"].alias("at"), x["byte"].alias("byte"), hot_part(x["m"], c).alias("part"))), lambda x: x["part"]["first"] >= 0)
+    return F.transform(hot, lambda x: span(x["at"] + x["part"]["first"], x["byte"] + x["part"]["first"], x["part"]["last"] - x["part"]["first"] + c.window, c.kind, rank))
 
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def with_spans(docs: DataFrame, text: Column, classes: tuple[EntropyClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """Adds ``_base`` and ``_all``: arrays of struct<start, rank, end, kind>, one pass of the scan for all that use them."""
+def free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def with_spans(docs: DataFrame, text: Column, classes: tuple[EntropyClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> tuple[DataFrame, str, str]:
+    """Adds base spans and all spans, one pass of the scan for all that use them; gives the frame and their names."""
+    base, left, every = (free(n, docs.columns) for n in ("_base", "_left", "_all"))
     text = F.coalesce(text, F.lit(""))
     by_kind = {}
     for rank, (kind, pattern) in enumerate(BASE):
@@ -130,29 +188,26 @@ def with_spans(docs: DataFrame, text: Column, classes: tuple[EntropyClass, ...]
         if kind == "assign":
             found = F.filter(found, lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6)
         by_kind[kind] = as_spans(found, kind, rank)
-    got = docs.withColumn("_base", F.concat(*by_kind.values()))
-    added = [entropy_spans(text, F.col("_base"), c, len(BASE) + i, allowed) for i, c in enumerate(classes)]
-    return got.withColumn("_all", F.concat("_base", *added))
+    got = docs.withColumn(base, F.concat(*by_kind.values()))
+    spaces = lambda x, e: F.rpad(F.lit(""), F.greatest(x["byte_end"] - F.greatest(x["byte"], e), F.lit(0)), F.lit(" "))
+    cleared = rebuilt(text, F.col(base), spaces)
+    got = got.withColumn(left, bound(cleared, lambda t: blanked(t, "|".join(allowed))) if allowed else cleared)
+    added = [entropy_spans(F.col(left), c, len(BASE) + i) for i, c in enumerate(classes)]
+    return got.withColumn(every, F.concat(base, *added)).drop(left), base, every
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts of the base kinds, a digest of base spans, and all spans as text."""
-    rows = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"))
-    count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return rows.select("doc_id", *(count(k) for k, _ in BASE), F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.col("_all")).alias("spans"))
+    rows, base, every = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"))
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return rows.select("doc_id", *(count(k) for k, _ in BASE), F.sha2(joined(F.col(base)), 256).alias("base_sha256"), joined(F.col(every)).alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "<SECRET>") -> DataFrame:
     """The same rows and columns with every span of the text replaced by ``mark`` (overlapping spans by one)."""
-    rows = with_spans(docs, F.col(text_col))
-    text = F.col(text_col)
-
-    def step(acc, s):
-        new = F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], mark).otherwise("")).alias("out"), F.greatest(s["end"], acc["at"]).alias("at"))
-        return F.when(s["end"] <= acc["at"], acc).otherwise(new)
-
-    clean = F.aggregate(F.array_sort("_all"), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("_all") > 0, clean).otherwise(text)).drop("_base", "_all")
+    rows, base, every = with_spans(docs, F.col(text_col))
+    marked = rebuilt(F.col(text_col), F.col(every), lambda x, e: F.when(x["byte"] >= e, mark).otherwise(""))
+    return rows.withColumn(text_col, marked).drop(base, every)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,16 +229,20 @@ def oracle_sql() -> str:
     added = []
     for i, c in enumerate(CLASSES):
         f = "[" + ", ".join(map(str, terms(c.window))) + "]"
-        no = " AND ".join(f"NOT regexp_matches(x.m, '{p}')" for p in ALLOWED)
         sum_of = f"list_sum(list_transform(list_distinct(string_split(substr(x.m, p, {c.window}), '')), lambda ch: {f}[1 + length(substr(x.m, p, {c.window})) - length(replace(substr(x.m, p, {c.window}), ch, ''))]))"
         hot = f"list_filter(range(1, length(x.m) - {c.window} + 2), lambda p: {sum_of} <= {limit(c)})"
         added.append(
-            f"""list_filter(list_transform(list_filter({_sql_matches(c.pattern)}, lambda x: regexp_matches(x.m, '{c.needs}') AND {no} AND len(list_filter(b, lambda s: s.start < x.at + length(x.m) AND s."end" > x.at)) = 0),
+            f"""list_filter(list_transform(list_filter({_sql_matches(c.pattern)}, lambda x: regexp_matches(x.m, '{c.needs}')),
             lambda x: {{'start': x.at + list_min({hot}) - 1, 'rank': {len(BASE) + i}, 'end': x.at + list_max({hot}) - 1 + {c.window}, 'kind': '{c.kind}'}}), lambda s: s.start IS NOT NULL)"""
         )
     text = lambda spans: f"""array_to_string(list_transform(list_sort({spans}), lambda s: s.kind || ':' || s.start || ':' || s."end"), ',')"""
     counts = ", ".join(f"CAST(len(list_filter(b, lambda s: s.kind = '{k}')) AS BIGINT) AS n_{k}" for k, _ in BASE)
+    allowed = "|".join(ALLOWED)
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         s AS (SELECT doc_id, text, list_concat(list_concat({base[0]}, {base[1]}), {base[2]}) AS b FROM d),
-        a AS (SELECT doc_id, b, list_concat(list_concat(b, {added[0]}), {added[1]}) AS a FROM s)
+        c AS (SELECT doc_id, b, CASE WHEN len(b) = 0 THEN text ELSE array_to_string(list_transform(string_split(text, ''),
+            lambda ch, i: CASE WHEN len(list_filter(b, lambda s: s.start < i AND s."end" >= i)) > 0 THEN ' ' ELSE ch END), '') END AS text FROM s),
+        l AS (SELECT doc_id, b, array_to_string(list_transform(list_zip(string_split_regex(text, '{allowed}'), regexp_extract_all(text, '{allowed}')),
+            lambda x: x[1] || repeat(' ', coalesce(length(x[2]), 0))), '') AS text FROM c),
+        a AS (SELECT doc_id, b, list_concat(list_concat(b, {added[0]}), {added[1]}) AS a FROM l)
         SELECT doc_id, {counts}, sha256(coalesce({text('b')}, '')) AS base_sha256, coalesce({text('a')}, '') AS spans FROM a"""
