@@ -73,6 +73,13 @@ def anti_join(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> D
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (text_key(docs[text_col]) == gone["_gone_tie"]), "left_anti")
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, or a longer one that no column has."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
 _HELD: dict = {}
 
 

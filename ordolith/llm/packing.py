@@ -10,8 +10,10 @@ among pieces of equal length, which is counted without collecting or sorting the
 
 Only documents longer than the token capacity are cut, into full pieces, the first of which may be shorter.
 
-Nulls: a null text is an empty text (one end token). Repeated rows are packed as often as they occur. An empty
-table gives no rows. Columns other than id and text are not read.
+Nulls: a null text is an empty text (one end token); a null id is kept. Repeated rows are packed as often as they occur,
+and rows that share an id keep their own pieces. Ties: pieces of one length are alike to the plan; which of them goes
+where depends on the order in which tasks read them, the number of sequences doesn't. An empty table gives no rows.
+Columns other than id and text are not read. A text of any length is held whole, with its ids.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_schema, slices, stored, table
+from .common import Memo, arrow_schema, held, slices, stored, table
 from .tokenids import END, Pieces, tokenizer_path
 
 BYTES_FILE = "byte_bpe_50k.json"
@@ -63,18 +65,16 @@ class ByteEncoder:
         return b"".join(parts)
 
 
-_ENCODERS: dict = {}
-
-
 def byte_encoder(path: str) -> ByteEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ByteEncoder(path)
-    return _ENCODERS[path]
+    return held("bytes " + path, lambda: ByteEncoder(path))
 
 
 class Capacity(NamedTuple):
+    """What one sequence holds at most. At the defaults a sequence of very short pieces is closed by their number;
+    the attention cost admits one piece of all tokens, and so binds only where it is set lower."""
+
     tokens: int = 1024
-    documents: int = 1024
+    documents: int = 64
     cost: int = 1024 * 1024
 
 
@@ -111,7 +111,7 @@ def fill(left: Counter, cap: Capacity, weights: tuple[float, float, float], rule
         residual = residual - demand[best]
 
 
-def plan(histogram: dict[int, int], cap: Capacity = Capacity(), weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> list[Step]:
+def plan(histogram: dict[int, int], cap: Capacity = Capacity(), weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> list[Step]:
     """Steps that place every piece of the histogram; at most ``cap.tokens`` fillings, so the size is bounded."""
     left, steps, ranks, bins = Counter({k: v for k, v in histogram.items() if v > 0}), [], Counter(), 0
     for k in left:
@@ -158,7 +158,7 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     return stored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "pieces")
 
 
-def pack(docs: DataFrame, path: str, cap: Capacity = Capacity(), weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm", *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, cap: Capacity = Capacity(), weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm", *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece with its sequence and offset. The driver sees one number per length, never a piece."""
     cut = min(cap.tokens, int(cap.cost**0.5))
     found = pieces(docs, path, id_col=id_col, text_col=text_col, tokens=cut)
@@ -167,7 +167,8 @@ def pack(docs: DataFrame, path: str, cap: Capacity = Capacity(), weights: tuple[
     steps = sorted(plan(histogram, cap, weights, rule), key=lambda s: (s.length, s.first))
     plan_of = np.array(steps, np.int64).reshape(-1, 6)
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).drop("n")
-    ranked = found.join(before, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("local") + F.col("before")).alias("rank"))
+    # both grow with the input, so neither is broadcast; a key is one task's pieces of one length
+    ranked = found.join(before.hint("merge"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("local") + F.col("before")).alias("rank"))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     out = arrow_schema(docs.sparkSession, schema)
 

@@ -5,8 +5,10 @@
 the shard's last sequence), and beside it a small index file ``doc_id, start, n_tokens``. Shards follow ascending
 id, and so do the rows in a shard, so a document's global position is its shard's offset plus its start.
 
-Nulls: a null text is an empty text (one end token); a null id sorts first. Repeated rows are written as often as
-they occur. An empty table gives no shards. Columns other than id and text are not read.
+Nulls: a null text is an empty text (one end token); a null id sorts first. Ties: rows under one id, or under none, are in
+the order of a hash of their text and may span shards, so files don't depend on the order of the input. Repeated rows
+are written as often as they occur. An empty table gives no shards. Columns other than id and text are not read. A
+text of any length is held whole, with its ids.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_schema, scratch_path, stored, table
+from .common import Memo, arrow_schema, held, scratch_path, stored, table, text_key
 
 END = 2
 WORDS_FILE = "word_bpe_49k.json"
@@ -83,14 +85,13 @@ class WordEncoder:
         return b"".join(map(self.memo.__getitem__, (text or "").encode().split())) + self.end
 
 
-_ENCODERS: dict = {}
-
-
 def word_encoder(path: str, code: str) -> WordEncoder:
     """One encoder a process: Spark reuses Python workers, and the memo stays warm between tasks."""
-    if (path, code) not in _ENCODERS:
-        _ENCODERS[path, code] = WordEncoder(path, code)
-    return _ENCODERS[path, code]
+    return held(f"words {code} {path}", lambda: WordEncoder(path, code))
+
+
+#: Hadoop's names of stores that pyarrow calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gcs": "gs"}
 
 
 def open_fs(uri: str):
@@ -99,7 +100,8 @@ def open_fs(uri: str):
 
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), uri.removeprefix("file:").replace("//", "/", 1) if uri.startswith("file://") else uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + mark + rest) if mark else (fs.LocalFileSystem(), uri)
 
 
 def publish(filesystem, at: str, final: str) -> None:
@@ -209,7 +211,7 @@ class TokenFile:
 def write_token_files(docs: DataFrame, folder: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, shards: int | None = None, wide: bool = False) -> DataFrame:
     """Write shards to ``folder``; returns the manifest (shard int, n_tokens long), stored in the shared folder.
 
-    One range shuffle by id, the only one that an ascending order needs; encoding follows it, so ids are not
+    One range shuffle by id and text hash, the only one that an ascending order needs; encoding follows it, so ids are not
     shuffled. Texts of a shard stream through: memory is one batch of texts and one of sequences.
     """
     code = "I" if wide else "H"
@@ -228,7 +230,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, *, id_col: str =
         if out:
             yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([out.close()], pa.int64())], schema=schema)
 
-    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    text = F.col(text_col)
+    picked = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), text_key(text).alias("tie"))
+    ordered = picked.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     return stored(ordered.mapInArrow(run, "shard int, n_tokens bigint"), "token-manifest")
 
 

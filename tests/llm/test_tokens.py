@@ -84,6 +84,13 @@ def test_token_files_of_odd_tables(spark, tmp_path):
     df = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b"), (2, None)], "doc_id bigint, text string")
     rows = tokenids.read_token_files(tokenids.write_token_files(df, folder, path), folder).collect()
     assert sorted([(r.doc_id, r.start) for r in rows], key=lambda r: r[1]) == [(None, 0), (1, 2), (1, 4), (2, 6)]
+    ties = [(i, f"text {k}") for k in range(30) for i in (None, 4)]
+    starts = []
+    for part, order in (("-a", ties), ("-b", ties[::-1])):
+        df2 = spark.createDataFrame(order, "doc_id bigint, text string").repartition(3)
+        manifest = tokenids.write_token_files(df2, folder + part, path, shards=5)
+        starts.append(sorted(map(str, tokenids.read_token_files(manifest, folder + part).collect())))
+    assert starts[0] == starts[1]  # whatever the order of the input
     folder += "-none"
     assert tokenids.read_token_files(tokenids.write_token_files(df.limit(0), folder, path), folder).count() == 0
 
@@ -131,6 +138,12 @@ def test_all_capacities_hold(spark, real):
     assert max(tokens.values()) <= 256 and max(documents.values()) <= 3 and max(cost.values()) <= 40_000
 
 
+def test_the_number_of_documents_binds_at_the_defaults(spark):
+    df = spark.createDataFrame([(i, None) for i in range(150)], "doc_id bigint, text string")
+    rows = packing.pack(df, tokenids.tokenizer_path(packing.BYTES_FILE)).collect()
+    assert Counter(Counter(r.sequence_id for r in rows).values()) == {64: 2, 22: 1}
+
+
 def fewest(lengths, size):
     """The least number of bins, by trying all assignments."""
     best = len(lengths)
