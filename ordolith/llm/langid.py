@@ -4,11 +4,14 @@ Training counts letter trigrams (with word boundaries) per language, hashed to a
 training documents; the counts are summed by Spark, and the model on the driver is languages x buckets, whatever the
 input. Prediction takes each word's likelihood under each language and runs expectation-maximisation on every
 document's language proportions. The language set is selected by penalised likelihood: of the nested sets of
-likeliest languages, the one with the largest log-likelihood less half of log(words) for each further language.
+likeliest languages, the one with the largest log-likelihood less half of log(words) for each further language. The
+prediction is the set's most frequent language, and the score its proportion in the mixture of all languages.
 
 Nulls: a null text, or one without letters, is ``und`` with score 0. Rows with a null text or language do not train.
 A null id counts as trained and not held out. With no training rows at all everything is ``und``. Repeated rows
-weigh as often as they occur. An empty table gives no rows. Other columns are not read.
+weigh as often as they occur, and rows are predicted by their own text, whatever their id. Ties go to the language that
+sorts first. An empty table gives no rows. Other columns are not read. Texts of any length are taken whole; memory is a
+bounded number of texts, or one. More than ``MOST`` learned languages are an error, as the model grows with them.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices, table
+from .common import arrow_schema, free, slices, table
 
 BITS = 17
+MOST = 512
 _LETTERS: list[np.ndarray] = []
 
 
@@ -108,7 +112,7 @@ def proportions(like: np.ndarray, first: np.ndarray, size: np.ndarray, allowed:
 
 
 def infer(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
-    """The likeliest language of each text's selected set, and its proportion there."""
+    """The likeliest language of each text's selected set, and its proportion among all languages."""
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
     if not len(model.langs):
         return names, scores
@@ -123,7 +127,7 @@ def infer(texts: list[str | None], model: Model) -> tuple[list[str], list[float]
     k = like.shape[1]
     pi, full = proportions(like, first, size, np.ones((len(docs), k)))
     single = np.add.reduceat(like, first, axis=0)
-    best, score = single.argmax(1), np.ones(len(docs))
+    best = single.argmax(1)
     penalty = 0.5 * np.log(size + 1.0) + 2.0
     value = single.max(1)
     # a set of two or more beats one language only if all languages together, the largest set, gain a penalty
@@ -139,7 +143,8 @@ def infer(texts: list[str | None], model: Model) -> tuple[list[str], list[float]
             better = ll - (m - 1) * penalty[mixed] > value[mixed]
             d = mixed[better]
             value[d] = (ll - (m - 1) * penalty[mixed])[better]
-            best[d], score[d] = p[better].argmax(1), p[better].max(1)
+            best[d] = p[better].argmax(1)
+    score = pi[np.arange(len(docs)), best]
     for d, b, s in zip(docs.tolist(), best.tolist(), score.tolist()):
         names[d], scores[d] = str(model.langs[b]), min(1.0, max(0.0, s))
     return names, scores
@@ -152,9 +157,11 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
 def identify(docs: DataFrame, train: DataFrame, *, text_col: str = "text", carry: tuple[str, ...] = ("doc_id", "held_out"), bits: int = BITS) -> DataFrame:
     """Adds lang_pred and score to the ``carry`` columns; ``train`` has text and lang."""
     usable = train.where("text is not null and lang is not null").select("text", "lang")
+    if (n := usable.select("lang").distinct().limit(MOST + 1).count()) > MOST:
+        raise ValueError(f"{n} languages or more to learn; the model holds {MOST}")
     rows = trigram_counts(usable, bits).toPandas()  # languages x 2**bits rows at most
     model = docs.sparkSession.sparkContext.broadcast(Model(rows, bits))
-    picked = docs.select(*carry, F.col(text_col).alias("_text"))
+    picked = docs.select(*carry, F.col(text_col).alias(free("_text", carry)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema[:-1]) + ", lang_pred string, score double"
     out = arrow_schema(docs.sparkSession, schema)
 
