@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_files": tokenids.op9_token_files,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLE_SQL = {"op1_secret_scan": secrets.oracle_sql(), "op7_near_duplicates": neardup.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {"op1_secret_scan": secrets.oracle_sql(), "op6_repeated_bytes": repeats.ORACLE_SQL, "op7_near_duplicates": neardup.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}

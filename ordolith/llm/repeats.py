@@ -5,10 +5,10 @@ earlier start). Strings are judged on the input.
 
 1. Every ``width``-byte window has an anchor: the gram of 36 bytes in it with the least hash (the leftmost of equal
    ones). Equal windows have equal anchors, so what may repeat is found by grouping anchors, about one for every
-   thirty bytes. Runs of windows with one anchor are one row, with a hash of all their bytes; each task keeps the
+   thirty bytes. Runs of windows with one anchor are one row, with hashes of all their bytes; each task keeps the
    earliest of its equal runs, so a passage in a third of all documents sends one row a task.
-2. Runs with equal bytes repeat the earliest of them. Only anchors with different runs need their bytes: these are
-   read into shards by anchor, and a shard gets a suffix array (Larsson-Sadakane refinement of ranks), common prefixes
+2. Runs with one anchor and equal hashes of 128 bits over all their bytes repeat the earliest of them. Anchors with
+   different runs need their bytes: these are read into shards by anchor, and a shard gets a suffix array (Larsson-Sadakane refinement of ranks), common prefixes
    of neighbours (Kasai), and from these its equal windows; all but the earliest are repeats.
 3. An anchor with very many different runs is spread over several shards. Those meet by binary search: each shard sorts
    the 128-bit hashes of its windows and cuts them at common splitters, evenly spaced, and the slices of all shards
@@ -16,7 +16,8 @@ earlier start). Strings are judged on the input.
 
 Nulls: a null text has no bytes; a null id comes before all others. Texts under one id are documents of their own, in
 the order of a hash of the text; rows that repeat id and text are one document and get the same result. An empty
-table gives no rows. Other columns are not read.
+table gives no rows. Other columns are not read. A text of any length is held whole; it is hashed in parts of a million
+bytes that overlap by a window.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ GRAM = 36
 PLACE = 20
 _B = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
-_BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTES, _OTHERS = np.random.default_rng(5).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 
 
 def powers() -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +79,19 @@ def anchors(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return first, last, place[first], g
 
 
-def run_hashes(x: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+def run_hashes(x: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits over all bytes of each run, its length and its anchor's place: two sums with random weights of bytes."""
     up, down = powers()
-    total = np.r_[np.uint64(0), np.cumsum(_BYTES[x] * up[: len(x)], dtype=np.uint64)]
-    h = (total[last + width] - total[first]) * down[first]
-    return mix(h + mix((place - first).astype(np.uint64) * np.uint64(1024) + (last - first).astype(np.uint64)))
+    shape = mix((place - first).astype(np.uint64) * np.uint64(1024) + (last - first).astype(np.uint64))
+    got = []
+    for weights in (_BYTES, _OTHERS):
+        total = np.r_[np.uint64(0), np.cumsum(weights[x] * up[: len(x)], dtype=np.uint64)]
+        got.append(mix((total[last + width] - total[first]) * down[first] + shape))
+    return got[0], got[1]
 
 
 def document_runs(raw: bytes, width: int) -> tuple[np.ndarray, ...]:
-    """first, last, anchor hash, run hash of a document; long ones in parts that overlap by a window less one byte."""
+    """first, last, anchor hash, run hashes (two) of a document; long ones in parts that overlap by a window less one byte."""
     step = (1 << PLACE) - 4096
     got = []
     for at in range(0, max(1, len(raw) - width + 1), step):
@@ -94,11 +99,11 @@ def document_runs(raw: bytes, width: int) -> tuple[np.ndarray, ...]:
         if len(x) < width:
             break
         first, last, place, g = anchors(x, width)
-        got.append((first + at, last + at, mix(g[place]), run_hashes(x, first, last, place, width)))
-    return tuple(map(np.concatenate, zip(*got))) if got else (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
+        got.append((first + at, last + at, mix(g[place]), *run_hashes(x, first, last, place, width)))
+    return tuple(map(np.concatenate, zip(*got))) if got else (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 3
 
 
-RUNS = "key bigint, h bigint, c bigint, doc bigint, tie bigint, b int, e int"
+RUNS = "key bigint, h bigint, c bigint, c2 bigint, doc bigint, tie bigint, b int, e int"
 
 
 def runs(docs: DataFrame, width: int) -> DataFrame:
@@ -106,17 +111,17 @@ def runs(docs: DataFrame, width: int) -> DataFrame:
     out = arrow_schema(docs.sparkSession, RUNS)
 
     def emit(held):
-        doc, tie, b, e, h, c = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((b, tie, doc, c))
-        doc, tie, b, e, h, c = (x[order] for x in (doc, tie, b, e, h, c))
-        again = np.r_[False, (c[1:] == c[:-1]) & (h[1:] == h[:-1])]
+        doc, tie, b, e, h, c, c2 = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((b, tie, doc, c2, c))
+        doc, tie, b, e, h, c, c2 = (x[order] for x in (doc, tie, b, e, h, c, c2))
+        again = np.r_[False, (c[1:] == c[:-1]) & (c2[1:] == c2[:-1]) & (h[1:] == h[:-1])]
         lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(c))))
         keep = ~again | (doc != doc[lead]) | (tie != tie[lead]) | (b != b[lead])  # a repeated row is the same run
-        doc, tie, b, e, h, c, again = (x[keep] for x in (doc, tie, b, e, h, c, again))
+        doc, tie, b, e, h, c, c2, again = (x[keep] for x in (doc, tie, b, e, h, c, c2, again))
         key = np.where(again, mix(doc.view(np.uint64) + b.astype(np.uint64) * np.uint64(_B)), h).view(np.int64)
         for lo in range(0, len(key), 1 << 16):
             s = slice(lo, lo + (1 << 16))
-            cols = [pa.array(key[s]), pa.array(h[s].view(np.int64), mask=again[s]), pa.array(c[s].view(np.int64), mask=again[s]), pa.array(doc[s]), pa.array(tie[s]), pa.array(b[s].astype(np.int32)), pa.array(e[s].astype(np.int32))]
+            cols = [pa.array(key[s]), pa.array(h[s].view(np.int64), mask=again[s]), pa.array(c[s].view(np.int64), mask=again[s]), pa.array(c2[s].view(np.int64), mask=again[s]), pa.array(doc[s]), pa.array(tie[s]), pa.array(b[s].astype(np.int32)), pa.array(e[s].astype(np.int32))]
             yield pa.record_batch(cols, schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +129,8 @@ def runs(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for lo, hi in slices(batch.columns, batch.num_rows):
                 for doc, tie, text in zip(*(c.slice(lo, hi - lo).to_pylist() for c in batch.columns)):
-                    b, e, h, c = document_runs(text.encode(), width)
-                    held.append((np.full(len(b), doc, np.int64), np.full(len(b), tie, np.int64), b, e, h, c))
+                    b, *rest = document_runs(text.encode(), width)
+                    held.append((np.full(len(b), doc, np.int64), np.full(len(b), tie, np.int64), b, *rest))
                     n += len(b)
                 if n > 600_000:
                     yield from emit(held)
@@ -147,20 +152,20 @@ def judged(rows: DataFrame) -> DataFrame:
     out = arrow_schema(rows.sparkSession, FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_h = last_c = waiting = lead = None  # of the open group: anchor, run hash, its only run so far, first equal run
+        last_h = last_c = last_c2 = waiting = lead = None  # of the open group: anchor, run hashes, its only run so far, first equal run
         kinds = 0
         for batch in batches:
             local = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            doc, tie, b, e = (batch.column(i).to_numpy() for i in range(3, 7))
+            doc, tie, b, e = (batch.column(i).to_numpy() for i in range(4, 8))
             rest = np.flatnonzero(~local)
             h = batch.column(1).to_numpy(zero_copy_only=False)[rest].astype(np.int64) if not local.any() else batch.column(1).fill_null(0).to_numpy()[rest]
-            c = batch.column(2).fill_null(0).to_numpy()[rest]
+            c, c2 = (batch.column(i).fill_null(0).to_numpy()[rest] for i in (2, 3))
             d, t, bb, ee = doc[rest], tie[rest], b[rest], e[rest]
             parts = [(doc[local], tie[local], b[local], e[local], np.zeros(local.sum(), np.int64), True)]
             if len(h):
                 goes_on = last_h is not None and h[0] == last_h
                 new_h = np.r_[not goes_on, h[1:] != h[:-1]]
-                new_c = new_h | np.r_[not (goes_on and c[0] == last_c), c[1:] != c[:-1]]
+                new_c = new_h | np.r_[not (goes_on and c[0] == last_c and c2[0] == last_c2), (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])]
                 group = np.cumsum(new_h) - (0 if goes_on else 1)
                 n = np.bincount(group, new_c).astype(int)
                 if goes_on:
@@ -176,7 +181,7 @@ def judged(rows: DataFrame) -> DataFrame:
                     lead = (d[of[-1]], t[of[-1]], bb[of[-1]])
                 parts.append((d[again], t[again], bb[again], ee[again], h[again], True))
                 parts.append((d[first], t[first], bb[first], ee[first], h[first], False))
-                last_h, last_c, kinds = h[-1], c[-1], int(n[-1])
+                last_h, last_c, last_c2, kinds = h[-1], c[-1], c2[-1], int(n[-1])
                 if kinds == 1 and new_c[group == group[-1]].any():
                     i = np.flatnonzero((group == group[-1]) & new_c)[0]
                     waiting = (d[i], t[i], bb[i], ee[i], h[i])
@@ -184,7 +189,7 @@ def judged(rows: DataFrame) -> DataFrame:
                 if len(cols[0]):
                     yield pa.record_batch([*(pa.array(x, ty) for x, ty in zip(cols, out.types)), pa.array([flag] * len(cols[0]))], schema=out)
 
-    return rows.repartition("key").sortWithinPartitions("key", "c", "doc", "tie", "b").mapInArrow(run, FOUND)
+    return rows.repartition("key").sortWithinPartitions("key", "c", "c2", "doc", "tie", "b").mapInArrow(run, FOUND)
 
 
 def suffix_ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,7 +301,11 @@ def run_repeats(found: DataFrame, docs: DataFrame, width: int, shard_bytes: int)
     shards = max(1, -(-total // shard_bytes))
     splitters = evenly(max(1, -(-hot_windows // (shard_bytes // PACKED.itemsize))))
     hot = by_anchor.where(F.col("n") > most).select("h", F.ceil(F.col("n") / most).cast("bigint").alias("k"))
-    spread = many.join(hot, "h", "left").withColumn("salt", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "tie", "b"), F.col("k"))))
+    # an anchor may hold a large part of all runs, so runs meet the hot anchors by a part of their own place as well
+    parts = 16
+    many = many.withColumn("part", F.pmod(F.xxhash64("doc", "tie", "b", F.lit(1)), F.lit(parts)))
+    hot = hot.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).hint("merge")
+    spread = many.join(hot, ["h", "part"], "left").withColumn("salt", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "tie", "b"), F.col("k"))))
     spread = spread.select("doc", "tie", "b", "e", F.col("k").isNotNull().alias("hot"), F.pmod(F.xxhash64("h", "salt"), F.lit(shards)).alias("shard"))
     wanted = spread.groupBy("doc", "tie").agg(F.collect_list(F.struct("b", "e", "hot", "shard")).alias("runs"))
     cut_schema = "shard bigint, doc bigint, tie bigint, b int, hot boolean, bytes binary"
@@ -408,3 +417,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: The same rows in DuckDB, by all windows in hexadecimal.
+ORACLE_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT doc_id, unnest(list_transform(range(0, length(h) // 2 - 99), lambda i: {'i': i, 'k': md5_number(substr(h, 2 * i + 1, 200))}), recursive := true) FROM d),
+    r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+    m AS (SELECT doc_id, i, coalesce(CAST(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 AS INT), 1) AS opens FROM r),
+    g AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+    s AS (SELECT doc_id, min(i) AS b, max(i) + 100 AS e FROM g GROUP BY doc_id, run),
+    o AS (SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS p FROM s),
+    k AS (SELECT o.doc_id, sum(e - b) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * p + 1, 2 * (b - p)), '' ORDER BY b) || substr(any_value(h), 2 * max(e) + 1) AS kept
+        FROM o JOIN d ON d.doc_id = o.doc_id GROUP BY o.doc_id)
+    SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+        sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""

@@ -64,3 +64,32 @@ def test_packing_stage_and_run(spark, steps):
 def test_every_operator_is_registered():
     names = [*registry.QUERIES]
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Null and shared ids, nulls, repeated rows, columns with the operators' own names: clean rows stay."""
+    clean = [" ".join(f"{w}{i}" for w in ("river", "stone", "cloud", "meadow") for i in range(k, k + 12)) for k in (0, 100, 200, 300)]
+    item = "a farmer sold apples to her neighbour and bought seed for the next spring season how much was left"
+    rows = [(None, clean[0], 0), (None, "junk", 1), (None, clean[1] + " " + item, 2), (5, clean[2], 3), (5, "no", 4), (5, clean[3], 5), (5, clean[3], 6), (6, clean[3] + " more", 7), (None, None, 8), (7, "", 9)]
+    schema = "doc_id bigint, text string, tie int, lang string, n_chars bigint, _base int, node int, hash int"
+    docs = spark.createDataFrame([(i, t, k, None, len(t or ""), k, k, k) for i, t, k in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1), (None, 0)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, ties = docs, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/stage{k}")
+        now = spark.read.parquet(f"{tmp_path}/stage{k}")
+        assert now.columns == docs.columns
+        ties.append(sorted(r.tie for r in now.collect()))
+    assert ties == [[0, 2, 3, 5, 6, 7], [0, 2, 3, 5, 6], [0, 3, 5, 6], [0, 3, 5, 6]]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 4
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id bigint, text string, lang string, source string, n_chars bigint"), ("labels", "doc_id bigint, quality int, toxic int"), ("benchmark", "item_id bigint, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    for name, query in registry.QUERIES.items():
+        if name != "op8_warc":
+            assert query(spark, str(tmp_path)).count() == 0, name

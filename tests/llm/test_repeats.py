@@ -70,6 +70,15 @@ def test_repeated_rows_are_one_document_and_empty_tables_give_nothing(spark):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_documents_beyond_a_part_of_a_million_bytes(spark):
+    rng = random.Random(4)
+    unique = "".join(rng.choices("abcdefghijklmnop ", k=1_200_000))
+    edge = (1 << 20) - 4096  # where the first part ends
+    again = unique[edge - 150 : edge + 180]
+    docs = [(1, unique), (2, "q" * 99 + "-" + again + "-" + "r" * 99), (3, unique[:500] + "ä" + unique[1_100_000:] + unique[1_100_000:1_100_400])]
+    assert result(spark, docs) == brute(docs)
+
+
 def test_clashing_extra_columns(spark):
     df = spark.createDataFrame([(1, "a" * 120, 5, "t")], "doc_id bigint, text string, b int, tie string")
     assert [r.n_removed for r in repeats.remove_repeats(df).collect()] == [brute([(1, "a" * 120)])[1][1]]
