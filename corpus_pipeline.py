@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the result is wr
 the next stage's ``docs``. All stages but the last return the columns of ``documents``, and each works on all
 that its predecessor kept.
 
-Nulls, empty texts and repeated rows are treated as the stages' operators say; a row without an id passes the filters
-unless its own text is rejected by the quality rules or holds a benchmark item.
+Rows are judged by id and text together, so rows that share an id, or have none, pass or go each by its own text. Repeated
+rows (id and text) are one document to every stage and stay or go together. Null and empty texts are rejected by the
+quality rules, as they have no words. Empty tables give empty results; labels or a benchmark without rows reject nothing
+beyond the base rules. Further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: Near duplicates, tokens and packing aren't expressible in SQL; tests compare the stages with brute force.
+#: The forest, tokens and packing aren't expressible in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
