@@ -234,17 +234,17 @@ def candidates(reps: DataFrame, similarity: float, *, small: int = 128, pivots:
             found.append(stored(in_blocks(many.where(F.col("size") <= blocks * small), small, least, similarity).distinct(), "met"))
             many = many.where(F.col("size") > blocks * small)
         # pivots: the least hash in each of a few classes of hashes, found with a map-side combine
+        many = many.withColumn("k", F.ceil(F.col("size") / CELL).cast("bigint"))
         h = F.xxhash64("id", "node")
-        chosen = many.groupBy("node", F.pmod(h, F.lit(pivots)).alias("p")).agg(F.min_by(F.struct("id", "n", "sig"), h).alias("x")).groupBy("node").agg(F.collect_list("x").alias("pivots"))
-        met = stored(against_pivots(many.join(chosen.hint("merge"), "node"), least, similarity), "met-pivots")
+        chosen = many.groupBy("node", F.pmod(h, F.lit(pivots)).alias("p")).agg(F.min_by(F.struct("id", "n", "sig", "k"), h).alias("x")).select("node", "x.*")
+        met = stored(against_pivots(many, chosen, least, similarity), "met-pivots")
         found.append(stored(met.select("a", F.explode("bs").alias("b")).distinct(), "met"))
         # what is near the branch's main pivots has met; what isn't has to meet all that isn't settled
         apart = met.where("not main").groupBy("node").agg(F.count("*").alias("apart"))
-        rest = stored(met.where("not settled").join(apart, "node").select(F.col("a").alias("id"), "node", "n", "sig", "main", "apart"), "unsettled")
+        rest = stored(met.where("not settled").join(apart, "node").select(F.col("a").alias("id"), "node", "n", "sig", "k", "main", "apart"), "unsettled")
         drop_stored(large, met)
         last = rest.where(F.col("apart") <= small)
-        others = last.where("not main").groupBy("node").agg(F.collect_list(F.struct("id", "n", "sig")).alias("pivots"))
-        found.append(stored(against_pivots(last.join(others.hint("merge"), "node"), least, similarity, similarity).select("a", F.explode("bs").alias("b")).distinct(), "met"))
+        found.append(stored(against_pivots(last, last.where("not main"), least, similarity, similarity).select("a", F.explode("bs").alias("b")).distinct(), "met"))
         child = rest.where(F.col("apart") > small).select("id", "node", "sig", F.explode(F.sequence(F.lit(0), F.lit(branching(level) - 1))).alias("j"))
         # children of one branch differ in their token
         place = F.pmod(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(TOKENS)) + 43 * F.col("j"), F.lit(TOKENS)).cast("int") + 1
@@ -256,45 +256,59 @@ def candidates(reps: DataFrame, similarity: float, *, small: int = 128, pivots:
     return out.distinct()
 
 
-def against_pivots(rows: DataFrame, least: float, similarity: float, ratio: float = 0.0) -> DataFrame:
+#: Members of a large branch that one group takes, together with the branch's pivots.
+CELL = 2048
+
+
+def against_pivots(members: DataFrame, pivots: DataFrame, least: float, similarity: float, ratio: float = 0.0) -> DataFrame:
     """Each member of a large branch and, as ``bs``, one pivot of each group of linked pivots that it may be similar to.
 
-    main: it may be similar to one of the branch's main pivots, the largest group of pivots that are linked with each
+    Both have (id, node, n, sig, k); a branch's members are dealt to k cells and its pivots to each of them, where they
+    come first. main: it may be similar to one of the branch's main pivots, the largest group of pivots that are linked with each
     other, so all main members are in one cluster. settled: it is so near to a main pivot that whatever may be linked
     with it is near that pivot as well (distances add up at most), so both are in the pivot's cluster. That says nothing
     of set sizes, so these may prune (``ratio``) only where rows meet all that they may be linked with.
     """
-    schema = "a bigint, node bigint, n bigint, sig binary, bs array<bigint>, main boolean, settled boolean"
-    out = arrow_schema(rows.sparkSession, schema)
+    schema = "a bigint, node bigint, n bigint, sig binary, k bigint, bs array<bigint>, main boolean, settled boolean"
+    out = arrow_schema(members.sparkSession, schema)
     sure = min(1.0, least + (1 - similarity) + 0.12)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}  # pivots of the branches of this task's last batches
+        open_cell, held, ready = None, [], None  # the cell that is being read, its pivots so far, and these prepared
         for batch in batches:
-            ids, nodes, n = (batch.column(i).to_numpy() for i in range(3))
-            sig = tokens_of(batch.column(3).to_pylist())
-            which, first, of = np.unique(nodes, return_index=True, return_inverse=True)
+            cell, member, ids, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            sig = tokens_of(batch.column(4).to_pylist())
             main, settled, bs = np.zeros(len(ids), bool), np.zeros(len(ids), bool), np.empty(len(ids), object)
-            seen = {node: seen[node] for node in which.tolist() if node in seen}
-            for k, node in enumerate(which.tolist()):
-                if node not in seen:
-                    x = batch.column(4)[int(first[k])].as_py()
-                    x.sort(key=lambda v: v["id"])
-                    p, size = tokens_of([v["sig"] for v in x]), np.array([v["n"] for v in x], float)
+            edges = np.flatnonzero((cell[1:] != cell[:-1]) | (member[1:] != member[:-1])) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(cell)]):
+                if cell[lo] != open_cell:
+                    open_cell, held, ready = cell[lo], [], None
+                if not member[lo]:
+                    held.append((ids[lo:hi], n[lo:hi].astype(float), sig[lo:hi]))
+                    continue
+                if ready is None:
+                    names, size, p = (np.concatenate(x) for x in zip(*held))
+                    order = np.argsort(names)
+                    names, size, p = names[order], size[order], p[order]
                     root = linked(close(p, p, size, size, least, ratio))
-                    seen[node] = np.array([v["id"] for v in x]), p, size, root, root == np.bincount(root).argmax()
-                names, p, size, root, is_main = seen[node]
-                rows = np.flatnonzero(of == k)
-                for lo in range(0, len(rows), 1024):
-                    at = rows[lo : lo + 1024]
-                    near, est = close(sig[at], p, n[at].astype(float), size, least, ratio, True)
-                    main[at] = (near & is_main).any(1)
-                    settled[at] = (near & is_main & (est >= sure)).any(1)
-                    for i, hit in zip(at.tolist(), near):
-                        bs[i] = [b for b in names[np.unique(root[hit])].tolist() if b != ids[i]]
-            yield pa.record_batch([*batch.columns[:4], pa.array(bs.tolist(), out.types[4]), pa.array(main), pa.array(settled)], schema=out)
-
-    return rows.select(F.col("id").alias("a"), "node", "n", "sig", "pivots").mapInArrow(run, schema)
+                    ready = names, size, p, root, root == np.bincount(root).argmax()
+                names, size, p, root, is_main = ready
+                for at in range(lo, hi, 1024):
+                    part = slice(at, min(at + 1024, hi))
+                    near, est = close(sig[part], p, n[part].astype(float), size, least, ratio, True)
+                    main[part] = (near & is_main).any(1)
+                    settled[part] = (near & is_main & (est >= sure)).any(1)
+                    for i, hit in enumerate(near, at):
+                        bs[i] = [b for b in names[np.unique(root[hit])].tolist() if b != ids[i]] if hit.any() else []
+            mine = np.flatnonzero(member)
+            if len(mine):
+                kept = batch.take(pa.array(mine))
+                yield pa.record_batch([kept.column(2), kept.column(5), kept.column(3), kept.column(4), kept.column(6), pa.array(bs[mine].tolist(), out.types[5]), pa.array(main[mine]), pa.array(settled[mine])], schema=out)
+
+    rest = ["id", "n", "sig", "node", "k"]
+    dealt = members.select(F.xxhash64("node", F.pmod(F.xxhash64("id", F.lit(3)), F.col("k"))).alias("cell"), F.lit(True).alias("member"), *rest)
+    each = pivots.withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1))).select(F.xxhash64("node", "c").alias("cell"), F.lit(False).alias("member"), *rest)
+    return dealt.union(each).repartition("cell").sortWithinPartitions("cell", "member").mapInArrow(run, schema)
 
 
 def in_blocks(many: DataFrame, small: int, least: float, similarity: float) -> DataFrame:
