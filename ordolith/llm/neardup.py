@@ -206,54 +206,55 @@ def together(similarity: float, levels: int = LEVELS) -> float:
     return p
 
 
-def candidates(reps: DataFrame, similarity: float, *, small: int = 128, pivots: int = 8, levels: int = LEVELS, blocks: int = 8) -> DataFrame:
-    """Links (a, b) between nodes (id, n, sig, nodes) that may be similar; reps must be a stored frame."""
+def candidates(reps: DataFrame, similarity: float, *, small: int = 1024, pivots: int = 8, levels: int = LEVELS, blocks: int = 4) -> DataFrame:
+    """Links (a, b) between nodes (id, n, sig, nodes) that may be similar; reps must be a stored frame.
+
+    Comparisons of all levels are left to the job that reads the result; its ``scratch`` are the frames it reads.
+    """
     sigma = math.sqrt(similarity * (1 - similarity) / TOKENS)
     least = similarity - 5 * sigma
     plain = reps.select("id", "n", "sig")
     members = reps.select("id", F.explode("nodes").alias("node"))
     found: list[DataFrame] = []
+    scratch: list[DataFrame] = []
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        scratch.append(stored(df, what))
+        return scratch[-1]
+
     for level in range(levels + 1):
         sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        whole, members = members, stored(members.join(sizes.hint("merge"), "node"), "branches")
-        if level:
-            drop_stored(whole)
-        few, many = members.where(F.col("size") <= small).join(plain, "id"), members.where(F.col("size") > small)
-        found.append(stored(meet_all(few, "node", least, similarity).distinct(), "met"))
-        if not many.limit(1).count():
-            drop_stored(members)
-            break
-        large = stored(many.join(plain, "id"), "large-branches")
-        drop_stored(members)
-        if level == levels:  # what has not split by now is compared block by block
-            found.append(stored(in_blocks(large, small, least, similarity).distinct(), "met"))
-            drop_stored(large)
+        members = keep(members.join(sizes.hint("merge"), "node"), "branches")
+        found.append(meet_all(members.where(F.col("size") <= small).join(plain, "id"), "node", least, similarity))
+        # from level 2 on what makes a few blocks is compared block by block, and so is what has not split at last
+        whole = 0 if level < 2 else blocks * small if level < levels else 1 << 62
+        many = members.where(F.col("size") > small)
+        largest = many.agg(F.max("size")).first()[0] or 0
+        if largest > small and whole:
+            found.append(in_blocks(many.where(F.col("size") <= whole).join(plain, "id"), small, least, similarity))
+        if largest <= max(small, whole):
             break
-        many = large
-        if level >= 2:  # and so is what makes a few blocks
-            found.append(stored(in_blocks(many.where(F.col("size") <= blocks * small), small, least, similarity).distinct(), "met"))
-            many = many.where(F.col("size") > blocks * small)
         # pivots: the least hash in each of a few classes of hashes, found with a map-side combine
-        many = many.withColumn("k", F.ceil(F.col("size") / CELL).cast("bigint"))
+        many = keep(many.where(F.col("size") > whole).withColumn("k", F.ceil(F.col("size") / CELL).cast("bigint")).join(plain, "id"), "large-branches")
         h = F.xxhash64("id", "node")
         chosen = many.groupBy("node", F.pmod(h, F.lit(pivots)).alias("p")).agg(F.min_by(F.struct("id", "n", "sig", "k"), h).alias("x")).select("node", "x.*")
-        met = stored(against_pivots(many, chosen, least, similarity), "met-pivots")
-        found.append(stored(met.select("a", F.explode("bs").alias("b")).distinct(), "met"))
+        met = keep(against_pivots(many, chosen, least, similarity), "met-pivots")
+        found.append(met.select("a", F.explode("bs").alias("b")))
         # what is near the branch's main pivots has met; what isn't has to meet all that isn't settled
         apart = met.where("not main").groupBy("node").agg(F.count("*").alias("apart"))
-        rest = stored(met.where("not settled").join(apart, "node").select(F.col("a").alias("id"), "node", "n", "sig", "k", "main", "apart"), "unsettled")
-        drop_stored(large, met)
+        rest = keep(met.where("not settled").join(apart.hint("merge"), "node").select(F.col("a").alias("id"), "node", "n", "sig", "k", "main", "apart"), "unsettled")
         last = rest.where(F.col("apart") <= small)
-        found.append(stored(against_pivots(last, last.where("not main"), least, similarity, similarity).select("a", F.explode("bs").alias("b")).distinct(), "met"))
+        found.append(against_pivots(last, last.where("not main"), least, similarity, similarity).select("a", F.explode("bs").alias("b")))
         child = rest.where(F.col("apart") > small).select("id", "node", "sig", F.explode(F.sequence(F.lit(0), F.lit(branching(level) - 1))).alias("j"))
         # children of one branch differ in their token
         place = F.pmod(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(TOKENS)) + 43 * F.col("j"), F.lit(TOKENS)).cast("int") + 1
-        members = stored(child.select("id", F.xxhash64("node", "j", F.lit(level), F.col("sig").substr(place, F.lit(1))).alias("node")), "children")
-        drop_stored(rest)
+        members = child.select("id", F.xxhash64("node", "j", F.lit(level), F.col("sig").substr(place, F.lit(1))).alias("node"))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
-    return out.distinct()
+    out = out.distinct()
+    out.scratch = scratch
+    return out
 
 
 #: Members of a large branch that one group takes, together with the branch's pivots.
@@ -428,7 +429,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     reps = rows.where("n_shingles > 0").groupBy("node").agg(F.min(who).alias("who"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"))
     reps = stored(reps.withColumnRenamed("node", "id"), "sets")
-    clusters = components(candidates(reps, similarity))
+    met = candidates(reps, similarity)
+    clusters = components(met)
+    drop_stored(*met.scratch)
     clusters = stored(clusters.withColumnRenamed("component", "cluster").join(reps.select("id", "n", "who.doc_id", "who.tie"), "id"), "clusters")
     comp = components(confirmed(clusters, texts, words, percent, most))
     named = reps.select("id", "who").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
