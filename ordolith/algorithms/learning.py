@@ -71,3 +71,14 @@ def least_squares_step(rows: DataFrame, features: list[Column], target: Column,
     linear = lambda xs: sum((F.lit(w) * x for w, x in zip(weights, xs)), F.lit(0.0))
     g = gradient(rows, features, target, linear)
     return g.select(*((F.lit(w) - rate * F.col(f"g{i}") / F.col("n")).alias(f"w{i}") for i, w in enumerate(weights)))
+
+
+def mini_batch_descent(rows: DataFrame, features: list[Column], target: Column, weights: list[float], rate: float, batches: list[Column]) -> list[float]:
+    """Least squares by one step a batch, the i-th (from 1) at ``rate / sqrt(i)``. ``batches``: conditions that pick rows.
+
+    A step reads one row of sums; a batch without rows leaves the weights alone.
+    """
+    for i, batch in enumerate(batches, 1):
+        step = least_squares_step(rows.where(batch), features, target, weights, rate / i**0.5).first()
+        weights = [w if new is None else new for w, new in zip(weights, step)]
+    return weights

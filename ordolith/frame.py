@@ -7,6 +7,7 @@ plain DataFrames; ``ordered`` gives those an order again.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -69,6 +70,10 @@ class OrderedFrame:
             return OrderedFrame(self.df.withColumn(name, F.row_number().over(w).cast("bigint") - 1), (Key(name),), name)
         return OrderedFrame(indexed_in_two_levels(self.df, self.columns(), name), (Key(name),), name)
 
+    def cached(self) -> OrderedFrame:
+        """The same frame computed once, in the shared folder: later readers, and lost executors, read it from there."""
+        return OrderedFrame(stored(self.df, "cached"), self.order, self.index)
+
     def sorted(self) -> DataFrame:
         return self.df.orderBy(*self.columns())
 
@@ -78,8 +83,9 @@ def ordered(df: DataFrame, *order: str | Key) -> OrderedFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate; costs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate; costs no job. A generator's rows aren't in it, so a plan that has one counts as large."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return 1 << 62 if re.search(r"\bGenerate\b", plan.toString()) else int(str(plan.stats().sizeInBytes()))
 
 
 def indexed_in_two_levels(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Key, OrderedFrame
+from ..frame import Key, OrderedFrame, ordered
+from ..store import stored
 
 REDUCERS = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "any": F.bool_or, "all": F.bool_and, "product": F.product}
 
@@ -66,6 +67,13 @@ def group_to_index(frame: OrderedFrame, key: str, size: int, out: Mapping[str, C
     return dense(group_by_key(frame, [key], out, *values), key, size, neutral)
 
 
-def lower_median(items: Column) -> Column:
-    """Of a sorted array the element at max(n div 2 - 1, 0)."""
-    return F.element_at(items, F.greatest(F.floor(F.size(items) / 2).cast("int"), F.lit(1)))
+def group_median(df: DataFrame, by: str, value: str, name: str = "median") -> DataFrame:
+    """(by, name): of each group's sorted values the one at max(n div 2 - 1, 0), without collecting a group.
+
+    All rows get their position by group and value; a group is a span of positions, so its median is one row of the
+    frame. Groups of any size are spread over tasks, as positions are counted in two levels. Nulls are left out.
+    """
+    rows = ordered(df.where(F.col(value).isNotNull()).select(by, value), by, value).with_index("_at").df
+    rows = stored(rows, "positions")
+    spans = rows.groupBy(by).agg((F.min("_at") + F.greatest(F.floor(F.count("*") / 2), F.lit(1)) - 1).cast("bigint").alias("_at"))
+    return rows.join(spans.select("_at"), "_at", "left_semi").select(by, F.col(value).alias(name))

@@ -13,7 +13,7 @@ from ..functions.text import lines, run_lengths, words
 from ..functions.vectors import doubles
 from ..operators import actions, arrange, joins, keyed, local, scans, windows, zips
 from ..sources import arrays, files
-from ..store import fresh_path
+from ..store import fresh_path, stored
 from ..streaming.windows import windowed_reduce
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,13 +175,16 @@ def reduce_pair(spark, sf):
 
 
 def _user_slots(e: DataFrame) -> int:
-    """Slots of an index by ``user_id``: every id of the events and 50 beyond, the 201 of the SQL at least."""
+    """Slots of an index by ``user_id``: every id of the events and 50 beyond."""
     most = e.agg(F.max("user_id")).first()[0]
-    return max(201, (-1 if most is None else most) + 51)
+    return (-1 if most is None else most) + 51
 
 
-@query(f"""SELECT range AS user_id, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM range(201) LEFT JOIN
-    (SELECT user_id, count(*) AS n, CAST(sum({CENTS}) AS BIGINT) AS total FROM events WHERE user_id < 201 GROUP BY 1) ON range = user_id""")
+SLOTS = "range((SELECT coalesce(max(user_id), -1) + 51 FROM events))"
+
+
+@query(f"""SELECT range AS user_id, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM {SLOTS} LEFT JOIN
+    (SELECT user_id, count(*) AS n, CAST(sum({CENTS}) AS BIGINT) AS total FROM events GROUP BY 1) ON range = user_id""")
 def reduce_to_index(spark, sf):
     e = events(spark, sf).df.where("user_id is not null")
     return keyed.reduce_to_index(e, "user_id", _user_slots(e), {"n": F.count("*"), "total": ("sum", cents())}, {"n": 0, "total": 0}).df
@@ -194,14 +197,13 @@ def group_by_key(spark, sf):
     return keyed.group_by_key(o, ["o_orderpriority"], {"n": F.size(items).cast("bigint"), "first_key": items[0]["o_orderkey"], "last_key": F.element_at(items, -1)["o_orderkey"]})
 
 
-@query(f"SELECT h, v[CAST(greatest(len(v) // 2, 1) AS BIGINT)] AS median FROM (SELECT CAST(hour(ts) AS BIGINT) AS h, list({CENTS} ORDER BY {CENTS}) AS v FROM events GROUP BY 1)")
+@query(f"SELECT g, v[CAST(greatest(len(v) // 2, 1) AS BIGINT)] AS median FROM (SELECT event_id % 100 AS g, list({CENTS} ORDER BY {CENTS}) AS v FROM events GROUP BY 1)")
 def group_median(spark, sf):
-    e = events(spark, sf).df.select(F.hour("ts").cast("bigint").alias("h"), cents().alias("v"))
-    return keyed.group_by_key(ordered(e, "v"), ["h"], {"median": keyed.lower_median(F.transform("items", lambda x: x["v"]))})
+    return keyed.group_median(events(spark, sf).df.select((F.col("event_id") % 100).alias("g"), cents().alias("v")), "g", "v")
 
 
-@query(f"""SELECT range AS user_id, coalesce(last_value, -1) AS last_value FROM range(201) LEFT JOIN
-    (SELECT user_id, arg_max({CENTS}, event_id) AS last_value FROM events WHERE user_id < 201 GROUP BY 1) ON range = user_id""")
+@query(f"""SELECT range AS user_id, coalesce(last_value, -1) AS last_value FROM {SLOTS} LEFT JOIN
+    (SELECT user_id, arg_max({CENTS}, event_id) AS last_value FROM events GROUP BY 1) ON range = user_id""")
 def group_to_index(spark, sf):
     e = ordered(events(spark, sf).df.where("user_id is not null").select("event_id", "user_id", cents().alias("v")), "event_id")
     return keyed.group_to_index(e, "user_id", _user_slots(e.df), {"last_value": F.element_at("items", -1)["v"]}, {"last_value": -1}, "v").df
@@ -241,11 +243,17 @@ def ordered_fold(spark, sf):
     return actions.ordered_fold(_names(spark, sf), "n_name", F.lit(None).cast("string"), lambda a, x: F.concat_ws(">", a, x), "folded")
 
 
-@query("SELECT true AS within_5pct FROM range(1)")
+@query("SELECT p AS precision, n AS exact, true AS within FROM (SELECT count(DISTINCT (l_orderkey, l_partkey, l_suppkey)) AS n FROM lineitem), (VALUES (4), (8), (12), (16)) t(p)")
 def hll(spark, sf):
-    o = table(spark, sf, "orders")
-    exact = o.agg(F.countDistinct("o_custkey").alias("exact"))
-    return actions.hyper_log_log(o, "o_custkey", 12).crossJoin(exact).select((F.abs(F.col("distinct") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within_5pct"))
+    """At every precision the estimate is within three standard errors (1.04 / sqrt(2 ** p)) of the exact number."""
+    li = table(spark, sf, "lineitem").select(F.struct("l_orderkey", "l_partkey", "l_suppkey").alias("k"))
+    exact = li.agg(F.countDistinct("k").alias("exact"))
+    value, parts = F.xxhash64("k"), None
+    for p in (4, 8, 12, 16):
+        near = F.abs(F.col("distinct") - F.col("exact")) <= 3 * 1.04 / 2 ** (p / 2) * F.col("exact")
+        one = actions.hyper_log_log(li, value, p).crossJoin(exact).select(F.lit(p).alias("precision"), "exact", near.alias("within"))
+        parts = one if parts is None else parts.union(one)
+    return parts
 
 
 # Joins
@@ -295,6 +303,11 @@ def zip_with_index(spark, sf):
     return ordered(table(spark, sf, "orders"), "-o_totalprice", "o_orderkey").with_index().df.select("o_orderkey", "idx")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS idx FROM orders")
+def zip_with_index_two_levels(spark, sf):
+    return ordered(table(spark, sf, "orders"), "-o_totalprice", "o_orderkey").with_index(one_task_bytes=-1).df.select("o_orderkey", "idx")
+
+
 BY_ID = f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS idx, {CENTS} AS a FROM events"
 BY_TS = f"SELECT row_number() OVER (ORDER BY ts) - 1 AS idx, {CENTS} AS b FROM events"
 BY_USER = "SELECT row_number() OVER (ORDER BY user_id, event_id) - 1 AS idx, user_id AS c FROM events"
@@ -406,6 +419,11 @@ def prefix_sum(spark, sf):
     return scans.prefix_sum(events(spark, sf), cents(), "total", initial=42).df.select("event_id", "total")
 
 
+@query(f"SELECT event_id, CAST(42 + sum({CENTS}) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM events")
+def prefix_sum_two_levels(spark, sf):
+    return scans.prefix_sum(events(spark, sf), cents(), "total", initial=42, one_task_bytes=-1, bucket_rows=1000).df.select("event_id", "total")
+
+
 @query(f"SELECT event_id, CAST(42 + coalesce(sum({CENTS}) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS total FROM events")
 def ex_prefix_sum(spark, sf):
     return scans.ex_prefix_sum(events(spark, sf), cents(), "total", initial=42).df.select("event_id", "total")
@@ -419,9 +437,13 @@ def prefix_max(spark, sf):
 # Order
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS idx FROM orders")
+LINE = "l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY {LINE}) - 1 AS idx FROM lineitem")
 def sort(spark, sf):
-    return arrange.sort(table(spark, sf, "orders"), "o_totalprice", ties=("o_orderkey",)).with_index().df.select("o_orderkey", "idx")
+    first, *ties = LINE.split(", ")
+    return arrange.sort(table(spark, sf, "lineitem"), first, ties=tuple(ties)).with_index().df.select("l_orderkey", "l_linenumber", "l_extendedprice", "idx")
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY event_type, ts) - 1 AS idx FROM events")
@@ -483,7 +505,7 @@ def _edges(spark, sf):
 EDGES = "edges AS (SELECT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY event_id) AS dst FROM events) WHERE dst IS NOT NULL)"
 
 
-def _rank_sql(dense: bool, rounds: int = 5) -> str:
+def _rank_sql(dense: bool, rounds: int = 10) -> str:
     pages = "pages AS (SELECT DISTINCT user_id AS page FROM events)"
     parts = [EDGES, pages, "deg AS (SELECT src, count(*) AS d FROM edges GROUP BY 1)", "n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM pages)", "r0 AS (SELECT page, 1.0 / n AS rank FROM pages, n)"]
     for i in range(rounds):
@@ -498,13 +520,13 @@ def _rank_sql(dense: bool, rounds: int = 5) -> str:
 @query(_rank_sql(True))
 def page_rank(spark, sf):
     pages = table(spark, sf, "events").select(F.col("user_id").alias("page")).distinct()
-    return graphs.page_rank(pages, _edges(spark, sf), 5).select("page", F.round("rank", 8).alias("rank"))
+    return graphs.page_rank(pages, _edges(spark, sf), 10).select("page", F.round("rank", 8).alias("rank"))
 
 
 @query(_rank_sql(False))
 def page_rank_join(spark, sf):
     pages = table(spark, sf, "events").select(F.col("user_id").alias("page")).distinct()
-    return graphs.page_rank_linked(pages, _edges(spark, sf), 5).select("page", F.round("rank", 8).alias("rank"))
+    return graphs.page_rank_linked(pages, _edges(spark, sf), 10).select("page", F.round("rank", 8).alias("rank"))
 
 
 @query(f"WITH {EDGES}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst) SELECT count(*) AS triangles FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b")
@@ -512,21 +534,32 @@ def triangles(spark, sf):
     return graphs.triangles(graphs.undirected(_edges(spark, sf)))
 
 
-LEVELS = f"""{EDGES}, l0 AS (SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS level),
-    l1 AS (SELECT * FROM l0 UNION ALL SELECT DISTINCT dst, CAST(1 AS BIGINT) FROM edges JOIN l0 ON src = node WHERE dst NOT IN (SELECT node FROM l0)),
-    l2 AS (SELECT * FROM l1 UNION ALL SELECT DISTINCT dst, CAST(2 AS BIGINT) FROM edges JOIN l1 ON src = node AND level = 1 WHERE dst NOT IN (SELECT node FROM l1)),
-    l3 AS (SELECT * FROM l2 UNION ALL SELECT DISTINCT dst, CAST(3 AS BIGINT) FROM edges JOIN l2 ON src = node AND level = 2 WHERE dst NOT IN (SELECT node FROM l2))"""
+#: No path without a circle is longer than there are nodes.
+LEVELS = f"""{EDGES}, r(node, level) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT dst, level + 1 FROM r JOIN edges ON src = node WHERE level < least(64, (SELECT count(DISTINCT src) FROM edges))),
+    levels AS (SELECT node, min(level) AS level FROM r GROUP BY 1)"""
 
 
-@query(f"WITH {LEVELS} SELECT node, level FROM l3")
+@query(f"WITH RECURSIVE {LEVELS} SELECT node, level FROM levels")
 def bfs_levels(spark, sf):
-    return graphs.bfs_levels(_edges(spark, sf), 0, 3)
+    return graphs.bfs_levels(_edges(spark, sf), 0)
 
 
-@query(f"WITH {LEVELS} SELECT b.node, min(a.node) AS parent FROM edges JOIN l3 a ON a.node = src JOIN l3 b ON b.node = dst AND b.level = a.level + 1 GROUP BY 1")
+@query(f"WITH RECURSIVE {LEVELS} SELECT b.node, min(a.node) AS parent FROM edges JOIN levels a ON a.node = src JOIN levels b ON b.node = dst AND b.level = a.level + 1 GROUP BY 1")
 def bfs_forest(spark, sf):
     e = _edges(spark, sf)
-    return graphs.bfs_parents(e, graphs.bfs_levels(e, 0, 3))
+    return graphs.bfs_parents(e, graphs.bfs_levels(e, 0))
+
+
+@query()  # trees depend on those before: tests compare it with a search by hand
+def bfs_trees(spark, sf):
+    nodes = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("node"))
+    links = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("src"), F.explode(F.expr("array(bigint(n_regionkey + 5), bigint(n_nationkey * 2))")).alias("dst"))
+    return graphs.bfs_trees(nodes, links)
+
+
+@query()  # random
+def zipf_graph(spark, sf):
+    return graphs.zipf_graph(spark, 2000).groupBy("dst").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_totalprice FROM orders ORDER BY o_totalprice LIMIT 1 OFFSET 777")
@@ -579,10 +612,34 @@ def sgd_step(spark, sf):
     return step.select(F.round("w0", 6).alias("w0"), F.round("w1", 6).alias("w1"))
 
 
-@query("SELECT doc_id, substr(md5(text), 1, 10) AS key, row_number() OVER (ORDER BY substr(md5(text), 1, 10), doc_id) - 1 AS idx FROM documents")
+def _descent_sql(steps: int = 4) -> str:
+    """Step i takes a fourth of the rows at rate 0.05 / sqrt(i)."""
+    parts = ["d AS (SELECT doc_id, n_chars / 10000 AS x, CAST(quality AS DOUBLE) AS y FROM labels JOIN documents USING (doc_id))", "w0 AS (SELECT 0.1::DOUBLE AS a, 0.2::DOUBLE AS b)"]
+    for i in range(1, steps + 1):
+        parts.append(f"w{i} AS (SELECT any_value(a) - 0.05 / sqrt({i}) * avg(a + b * x - y) AS a, any_value(b) - 0.05 / sqrt({i}) * avg((a + b * x - y) * x) AS b FROM w{i - 1}, d WHERE doc_id % {steps} = {i % steps})")
+    return f"WITH {', '.join(parts)} SELECT round(a, 6) AS w0, round(b, 6) AS w1 FROM w{steps}"
+
+
+@query(_descent_sql())
+def sgd_batches(spark, sf):
+    rows = joins.inner_join(table(spark, sf, "labels"), table(spark, sf, "documents").withColumnRenamed("doc_id", "id"), ["doc_id"], ["id"]).select("doc_id", (F.col("n_chars") / 10000).alias("x"), F.col("quality").cast("double").alias("y"))
+    w = learning.mini_batch_descent(rows, [F.lit(1.0), F.col("x")], F.col("y"), [0.1, 0.2], 0.05, [F.col("doc_id") % 4 == i % 4 for i in range(1, 5)])
+    return spark.createDataFrame([tuple(round(x, 6) for x in w)], "w0 double, w1 double")
+
+
+RECORD = "concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT), l_returnflag)"
+
+
+@query(f"SELECT key, line, row_number() OVER (ORDER BY key, line) - 1 AS idx FROM (SELECT substr(md5({RECORD}), 1, 20) AS key, {RECORD} AS line FROM lineitem)")
 def terasort(spark, sf):
-    keyed_docs = table(spark, sf, "documents").select("doc_id", F.md5("text").substr(1, 10).alias("key"))
-    return arrange.sort(keyed_docs, "key", "doc_id").with_index().df
+    """100-byte records (key of 10, value of 90) are written, read, sorted, written and read, all as binary files."""
+    line = F.expr(RECORD)
+    rows = table(spark, sf, "lineitem").select(F.concat(F.unhex(F.md5(line).substr(1, 20)), F.encode(F.rpad(line, 90, " "), "UTF-8")).alias("record"))
+    raw, done = fresh_path(spark, "records"), fresh_path(spark, "sorted-records")
+    files.write_records(rows, raw, "record", 100)
+    files.write_records(ordered(files.read_records(spark, raw, 100), "record").sorted(), done, "record", 100, file_bytes=4 << 20)
+    back = ordered(files.read_records(spark, done, 100), "record").with_index().df
+    return back.select(F.lower(F.hex(F.substring("record", 1, 10))).alias("key"), F.rtrim(F.decode(F.substring("record", 11, 90), "UTF-8")).alias("line"), "idx")
 
 
 #: The suffix algorithms take the whole benchmark table as one text.
@@ -599,10 +656,15 @@ def suffix_array(spark, sf):
     return strings.suffix_array(_text(spark, sf))
 
 
-@query("SELECT true AS ok FROM range(1)")
+@query(f"""WITH {SUFFIXES}, n AS (SELECT rank, i, encode(substr(t, CAST(i + 1 AS BIGINT))) AS s, lead(encode(substr(t, CAST(i + 1 AS BIGINT)))) OVER (ORDER BY rank) AS after FROM sa)
+    SELECT count(*) AS n, bool_and(coalesce(s < after, true)) AS ok, CAST(sum(i * rank) % 1000003 AS BIGINT) AS digest, false AS swapped_ok FROM n""")
 def suffix_array_check(spark, sf):
+    """The check accepts the suffix array and rejects it with two neighbours swapped."""
     text = _text(spark, sf)
-    return strings.is_suffix_array(text, strings.suffix_array(text))
+    sa = stored(strings.suffix_array(text), "suffix-array")
+    swapped = sa.withColumn("rank", F.when(F.col("rank") == 7, 8).when(F.col("rank") == 8, 7).otherwise(F.col("rank")).cast("bigint"))
+    facts = sa.agg(F.count("*").alias("n"), (F.sum(F.col("i") * F.col("rank")) % 1000003).alias("digest"))
+    return facts.crossJoin(strings.is_suffix_array(text, sa)).crossJoin(strings.is_suffix_array(text, swapped).withColumnRenamed("ok", "swapped_ok"))
 
 
 @query(f"WITH {SUFFIXES} SELECT rank, CASE WHEN i = 0 THEN substr(t, -1, 1) ELSE substr(t, CAST(i AS BIGINT), 1) END AS c FROM sa")

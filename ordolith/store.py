@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a folder of our own only where the session is local and names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = held.get() if held.isDefined() else None
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")

@@ -1,10 +1,11 @@
 """Order, positions, windows, zips and scans: edge cases, errors, and independence of the partitioning."""
 
 import itertools
+import math
 
 import pytest
-from ordolith.algorithms import strings
-from ordolith.frame import ordered
+from ordolith.algorithms import graphs, learning, strings
+from ordolith.frame import estimated_bytes, ordered
 from ordolith.functions.text import run_lengths
 from ordolith.operators import actions, arrange, joins, keyed, local, scans, windows, zips
 from ordolith.sources import arrays, files
@@ -168,3 +169,96 @@ def test_streaming_windows_with_late_rows(spark, tmp_path):
         assert {tuple(r) for r in spark.table("windowed").select("start", "u", "t").collect()} == want
     finally:
         q.stop()
+
+
+def test_one_file_is_written_by_all_tasks(spark, tmp_path):
+    rows = [(i, f"línea {i} " + "x" * (i % 37)) for i in range(5000)]
+    df = spark.createDataFrame(rows[::-1], "k bigint, line string").repartition(7)
+    files.write_lines_one(ordered(df, "k"), str(tmp_path / "one"), "line")
+    names = [p.name for p in (tmp_path / "one").iterdir()]
+    assert names == ["part-00000.txt"] and (tmp_path / "one" / names[0]).read_text() == "".join(line + "\n" for _, line in rows)
+    files.write_lines_one(ordered(df.limit(0), "k"), str(tmp_path / "none"), "line")
+    assert (tmp_path / "none" / "part-00000.txt").read_bytes() == b""
+
+
+def test_record_files(spark, tmp_path):
+    rows = [(i.to_bytes(4, "big") + b"\n\0\xff" + bytes([i % 256]),) for i in range(1000)]
+    df = spark.createDataFrame(rows, "r binary").orderBy("r").coalesce(1)
+    manifest = files.write_records(df, f"file://{tmp_path}/a", "r", 8, pattern="r-@@-###.bin", file_bytes=3001)
+    sizes = {r.file: r.size for r in manifest.collect()}
+    assert sorted(sizes) == [f"r-00-{k:03}.bin" for k in range(3)] and [sizes[k] for k in sorted(sizes)] == [3000, 3000, 2000]
+    assert b"".join((tmp_path / "a" / k).read_bytes() for k in sorted(sizes)) == b"".join(r for r, in rows)
+    spark.conf.set("mapreduce.input.fileinputformat.split.maxsize", "1000")
+    assert sorted(bytes(r.record) for r in files.read_records(spark, f"file://{tmp_path}/a", 8).collect()) == [r for r, in rows]
+    spark.conf.unset("mapreduce.input.fileinputformat.split.maxsize")
+    with pytest.raises(ValueError, match="no multiple of 7"):
+        files.read_records(spark, f"file://{tmp_path}/a", 7)
+    with pytest.raises(Exception, match="records of 9 bytes"):
+        files.write_records(df, f"file://{tmp_path}/b", "r", 9)
+    assert files.write_records(df.limit(0), f"file://{tmp_path}/c", "r", 8).count() == 0
+    assert files.file_pattern("out/x", 3, 4) == "out/x00030000000004" and files.file_pattern("a@@-##.txt", 123, 5) == "a123-05.txt"
+
+
+def test_group_medians(spark):
+    rows = [(g, (i * 7919) % 1000) for g in range(3) for i in range(10 * g + 1)] + [(5, None), (None, 4), (None, 2)]
+    df = spark.createDataFrame(rows, "g bigint, v bigint")
+    want = {}
+    for g in {g for g, _ in rows}:
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        if v:
+            want[g] = v[max(len(v) // 2 - 1, 0)]
+    assert {r.g: r.median for r in keyed.group_median(df, "g", "v").collect()} == want
+
+
+def trees_by_hand(nodes, edges):
+    out = {}
+    for root in sorted(nodes):
+        if root in out:
+            continue
+        out[root], front, level = (root, 0), [root], 0
+        while front:
+            level += 1
+            front = sorted({d for s, d in edges if s in front and d in nodes and d not in out})
+            out.update({d: (root, level) for d in front})
+    return out
+
+
+def test_trees_and_levels_to_the_end(spark):
+    edges = [(i, i + 1) for i in range(3, 15)] + [(9, 3), (20, 4), (21, 20), (20, 21), (30, 30), (1, 2), (2, 1)]
+    nodes = sorted({x for e in edges for x in e} | {40})
+    e = spark.createDataFrame(edges, "src bigint, dst bigint")
+    n = spark.createDataFrame([(x,) for x in nodes], "node bigint")
+    assert {r.node: (r.root, r.level) for r in graphs.bfs_trees(n, e).collect()} == trees_by_hand(nodes, edges)
+    assert {r.node: r.level for r in graphs.bfs_levels(e, 3).collect()} == {3 + i: i for i in range(13)}
+    assert {r.node: r.level for r in graphs.bfs_levels(e, 3, 2).collect()} == {3: 0, 4: 1, 5: 2}
+    assert graphs.bfs_trees(n.limit(0), e).count() == 0
+
+
+def test_zipf_graphs(spark):
+    rows = graphs.zipf_graph(spark, 1000, mean=20.0, spread_by=2.0).cache()
+    assert 18_500 < rows.count() < 21_500 and rows.where("dst < 0 or dst >= 1000").count() == 0
+    into = {r.dst: r["count"] for r in rows.groupBy("dst").count().collect()}
+    low, high = sum(into.get(i, 0) for i in range(10)), sum(into.get(i, 0) for i in range(900, 1000))
+    assert low > 4 * high  # a hundredth of the pages against a tenth
+
+
+def test_mini_batches(spark):
+    rows = spark.createDataFrame([(float(i), 3.0 * i + 1, i % 3) for i in range(9)], "x double, y double, b int")
+    got = learning.mini_batch_descent(rows, [F.lit(1.0), F.col("x")], F.col("y"), [0.0, 0.0], 0.01, [F.col("b") == k for k in (0, 1, 7)])
+    w = [0.0, 0.0]
+    for i, k in enumerate((0, 1), 1):
+        mine = [(x, 3.0 * x + 1) for x in range(9) if x % 3 == k]
+        e = [w[0] + w[1] * x - y for x, y in mine]
+        w = [w[0] - 0.01 / i**0.5 * sum(e) / 3, w[1] - 0.01 / i**0.5 * sum(a * x for a, (x, _) in zip(e, mine)) / 3]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, w))
+
+
+def test_generators_count_as_large(spark):
+    big = spark.range(10).select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("x"))
+    assert estimated_bytes(big) > 1 << 40 and estimated_bytes(spark.range(10)) < 1 << 20
+    assert sorted(r.idx for r in ordered(big, "x").with_index().df.collect()) == list(range(1000))
+
+
+def test_cached_frames_are_computed_once(spark):
+    f = ordered(spark.range(100).withColumn("r", F.rand()), "id").cached()
+    assert f.df.collect() == f.df.collect() and "Rand" not in f.df._jdf.queryExecution().optimizedPlan().toString()

@@ -55,7 +55,7 @@ def test_indexes_hold_every_user(spark, tmp_path):
 
 
 def test_queries_without_sql(spark):
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"bernoulli_random", "sample", "bisecting_kmeans", "lcp"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"bernoulli_random", "sample", "bisecting_kmeans", "lcp", "bfs_trees", "zipf_graph"}
     events = spark.read.parquet(f"{SF}/events.parquet")
     n = events.count()
     ids = {r.event_id for r in events.collect()}
