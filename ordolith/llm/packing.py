@@ -40,10 +40,12 @@ class ByteEncoder:
 
     The tokenizer's splitting rule always starts a new piece at a single space or line end that stands between
     two other characters, so such texts are split there and each word (with its leading space) is encoded once.
-    Texts with other white space (they then have fewer or more words than single spaces and line ends would part),
-    or with what may be a special token, go to the tokenizer whole.
+    Texts with other white space, or with what may be a special token, go to the tokenizer whole.
     """
 
+    #: White space that never stands between two words of a text that is split.
+    ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["  ", " \n", "\n ", "\n\n", "<|"]
+
     def __init__(self, path: str):
         pieces = Pieces(path, "I", lower=False)
         self.whole = pieces.whole
@@ -53,7 +55,7 @@ class ByteEncoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if "<|" in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if text[0].isspace() or text[-1].isspace() or any([c in text for c in self.ODD]):
             return self.whole(text) + self.end
         parts, inner = [], self.inner.__getitem__
         for line in text.split("\n"):
