@@ -49,7 +49,8 @@ class ByteEncoder:
     def __init__(self, path: str):
         pieces = Pieces(path, "I", lower=False)
         self.whole = pieces.whole
-        self.first, self.inner = Memo(pieces, 100_000), Memo(lambda w: pieces(w, " "), 500_000)
+        self.first = Memo(lambda w: pieces(w, self.first.__getitem__), 50_000)
+        self.inner = Memo(lambda w: pieces(w, self.inner.__getitem__, " "), 400_000)
         self.newline, self.end = self.whole("\n"), array("I", [END]).tobytes()
 
     def __call__(self, text: str | None) -> bytes:

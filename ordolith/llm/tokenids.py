@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,17 +56,18 @@ class Pieces:
         tok = Tokenizer.from_file(path)
         model, chars = tok.model, byte_characters()
         self.whole = lambda s: array(code, tok.encode(s, add_special_tokens=False).ids).tobytes()
-        mapped = lambda s: "".join([chars[b] for b in s.encode()])
-        self.memo = Memo(lambda s: array(code, [t.id for t in model.tokenize(s if s.isascii() and s[0] != " " else mapped(s))]).tobytes())
+        mapped = lambda s: s.replace(" ", chars[32]) if s.isascii() else "".join([chars[b] for b in s.encode()])
+        self.ids = lambda s: array(code, [t.id for t in model.tokenize(mapped(s))]).tobytes()
+        self.marks = Memo(self.ids, 20_000)
         self.lower = lower
 
-    def __call__(self, word: str, space: str = "") -> bytes:
+    def __call__(self, word: str, letters_of: Callable[[str], bytes], space: str = "") -> bytes:
+        """letters_of: the ids of the letters alone, from the caller's memo, which holds them for other marks."""
         m = LETTERS_MARKS.fullmatch(word)
         if not m:
             return self.whole(space + word)
         letters, marks = m.groups()
-        ids = self.memo[space + (letters.lower() if self.lower else letters)]
-        return ids + self.memo[marks] if marks else ids
+        return letters_of(letters) + self.marks[marks] if marks else self.ids(space + (letters.lower() if self.lower else letters))
 
 
 class WordEncoder:
@@ -78,7 +79,7 @@ class WordEncoder:
 
     def __init__(self, path: str, code: str):
         pieces = Pieces(path, code, lower=True)
-        self.memo = Memo(lambda w: pieces(w.decode()), 500_000)
+        self.memo = Memo(lambda w: pieces(w.decode(), lambda letters: self.memo[letters.encode()]), 500_000)
         self.end = array(code, [END]).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
