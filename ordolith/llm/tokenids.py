@@ -79,7 +79,7 @@ class WordEncoder:
 
     def __init__(self, path: str, code: str):
         pieces = Pieces(path, code, lower=True)
-        self.memo = Memo(lambda w: pieces(w.decode(), lambda letters: self.memo[letters.encode()]), 500_000)
+        self.memo = Memo(lambda w: pieces(w.decode(), lambda letters: self.memo[letters.encode()]), 200_000)
         self.end = array(code, [END]).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
