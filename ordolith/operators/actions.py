@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+from typing import TextIO
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import OrderedFrame
-from .keyed import REDUCERS
+from .keyed import REDUCERS, group_items
 
 
 def size(df: DataFrame, name: str = "size") -> DataFrame:
@@ -46,5 +49,25 @@ def gather(frame: OrderedFrame) -> list:
     return frame.sorted().collect()
 
 
+#: Rows that ``all_gather`` sends to every task at most.
+GATHER_ROWS = 1_000_000
+
+
+def all_gather(frame: OrderedFrame, *columns: str, name: str = "items", most: int = GATHER_ROWS) -> DataFrame:
+    """One row for every task: the frame's rows in order, as an array of structs. Raises beyond ``most`` rows."""
+    if frame.df.limit(most + 1).count() > most:
+        raise ValueError(f"a frame of more than {most} rows is not for every task")
+    return F.broadcast(frame.df.agg(group_items(frame, *columns).alias(name)))
+
+
+def print_frame(frame: OrderedFrame, name: str, out: TextIO | None = None) -> None:
+    """All rows in order between two lines with the name, numbered; the driver holds one partition at a time."""
+    out = out or sys.stdout
+    print(f"-- {name}: begin", file=out)
+    for i, row in enumerate(frame.sorted().toLocalIterator()):
+        print(f"[{i}]", *row, file=out)
+    print(f"-- {name}: end", file=out)
+
+
 def show(frame: OrderedFrame, n: int = 20) -> None:
     frame.sorted().show(n, truncate=False)

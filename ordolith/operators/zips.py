@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, NumericType, StringType
 
@@ -48,6 +48,17 @@ def zip_frames(frames: list[tuple[OrderedFrame, list[str]]], mode: str = "strict
     return OrderedFrame(out.select("idx", *names), (Key("idx"),), "idx")
 
 
+def zip_aligned(frame: OrderedFrame, *maps: dict[str, Column]) -> OrderedFrame:
+    """Zip of several maps of one frame: each row beside itself. Rows stay where they are, so nothing is shuffled."""
+    names = [c for m in maps for c in m]
+    if len(set(names)) != len(names):
+        raise ValueError(f"zipped columns need different names: {names}")
+    order = [k.name for k in frame.order]
+    if set(names) & set(order):
+        raise ValueError(f"zipped columns can't replace the order {order}")
+    return OrderedFrame(frame.df.select(*order, *(v.alias(c) for m in maps for c, v in m.items())), frame.order, frame.index)
+
+
 def zip_windows(frames: list[tuple[OrderedFrame, str, int]], mode: str = "strict", padding: dict[str, object] | None = None) -> OrderedFrame:
     """The i-th blocks side by side as arrays. ``frames``: (frame, column, block size).
 

@@ -11,7 +11,7 @@ from ..algorithms import graphs, learning, selection, strings
 from ..frame import OrderedFrame, ordered
 from ..functions.text import lines, run_lengths, words
 from ..functions.vectors import doubles
-from ..operators import actions, arrange, joins, keyed, local, scans, windows, zips
+from ..operators import actions, arrange, joins, keep, keyed, local, scans, windows, zips
 from ..sources import arrays, files
 from ..store import fresh_path, stored
 from ..streaming.windows import windowed_reduce
@@ -91,6 +91,14 @@ def read_gz(spark, sf):
     return files.read_lines(spark, at).df.select("value")
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS value FROM orders WHERE o_orderkey % 3 < 2")
+def read_glob(spark, sf):
+    at, o = fresh_path(spark, "globs"), table(spark, sf, "orders")
+    for i, name in enumerate(("in-0", "in-1", "out-0")):
+        files.write_lines(o.where(F.col("o_orderkey") % 3 == i), f"{at}/{name}", "o_orderkey", compression="bzip2" if i else "none")
+    return files.read_lines(spark, f"{at}/in-*").df.select("value")
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS value FROM orders")
 def write_lines(spark, sf):
     at = fresh_path(spark, "lines")
@@ -137,6 +145,24 @@ def union_all(spark, sf):
     return local.union_all(e.where("event_type = 'error'"), e.where("event_type in ('click', 'error')"))
 
 
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS differing FROM events")
+def cache(spark, sf):
+    """Random values that are cached are drawn once: all readers see the same."""
+    drawn = keep.cache(local.map_rows(events(spark, sf), "event_id", F.rand().alias("r")))
+    again = keep.cache(drawn).df.withColumnRenamed("r", "s")
+    return drawn.df.join(again, "event_id", "full").agg(F.count("*").alias("n"), F.count(F.when(~F.col("r").eqNullSafe(F.col("s")), 1)).alias("differing"))
+
+
+@query(f"SELECT event_id, {CENTS} * 32 + 31 AS v FROM events")
+def cached_loop(spark, sf):
+    """Five rounds of one step; each is cached, and the one before it is given up."""
+    f = keep.cache(local.map_rows(events(spark, sf), "event_id", cents().alias("v")))
+    for _ in range(5):
+        before, f = f, keep.cache(local.map_rows(f, "event_id", (F.col("v") * 2 + 1).alias("v")))
+        keep.dispose(before)
+    return f.df
+
+
 @query("SELECT event_id FROM events WHERE (event_id * 7919) % 100 < 10")
 def bernoulli(spark, sf):
     return local.hash_sample(events(spark, sf), F.col("event_id"), 100, 10).df.select("event_id")
@@ -190,6 +216,31 @@ def reduce_to_index(spark, sf):
     return keyed.reduce_to_index(e, "user_id", _user_slots(e), {"n": F.count("*"), "total": ("sum", cents())}, {"n": 0, "total": 0}).df
 
 
+def _slots(df: DataFrame, key: Column) -> int:
+    most = df.agg(F.max(key)).first()[0]
+    return 0 if most is None else most + 1
+
+
+@query("""SELECT range AS bucket, coalesce(n, 0) AS n, coalesce(last_key, -1) AS last_key FROM range((SELECT coalesce(max(CAST(floor(o_totalprice / 1000) AS BIGINT)), -1) + 1 FROM orders)) LEFT JOIN
+    (SELECT CAST(floor(o_totalprice / 1000) AS BIGINT) AS b, count(*) AS n, max(o_orderkey) AS last_key FROM orders GROUP BY 1) ON range = b""")
+def reduce_to_index_volatile(spark, sf):
+    o = table(spark, sf, "orders").select(F.floor(F.col("o_totalprice") / 1000).cast("bigint").alias("bucket"), "o_orderkey")
+    return keyed.reduce_to_index(o, "bucket", _slots(o, F.col("bucket")), {"n": F.count("*"), "last_key": ("max", "o_orderkey")}, {"n": 0, "last_key": -1}).df
+
+
+@query(f"""SELECT range AS event_id, coalesce(v, 0) AS v FROM range((SELECT coalesce(max(event_id), -1) + 1 FROM events)) LEFT JOIN
+    (SELECT event_id, CAST(sum({CENTS}) AS BIGINT) AS v FROM events GROUP BY 1) ON range = event_id""")
+def reduce_to_index_unique(spark, sf):
+    """Almost every key is its own: combining before the shuffle saves nothing, and Spark gives it up by itself."""
+    e = events(spark, sf).df.select("event_id", cents().alias("v"))
+    return keyed.reduce_to_index(e, "event_id", _slots(e, F.col("event_id")), {"v": ("sum", "v")}, {"v": 0}).df
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n, max(l_partkey) AS part FROM lineitem GROUP BY 1, 2")
+def reduce_unique_keys(spark, sf):
+    return keyed.reduce_by_key(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], {"n": F.count("*"), "part": ("max", "l_partkey")})
+
+
 @query("SELECT o_orderpriority, count(*) AS n, list(o_orderkey ORDER BY o_orderdate, o_orderkey)[1] AS first_key, list(o_orderkey ORDER BY o_orderdate, o_orderkey)[-1] AS last_key FROM orders GROUP BY 1")
 def group_by_key(spark, sf):
     o = ordered(table(spark, sf, "orders"), "o_orderdate", "o_orderkey")
@@ -256,6 +307,18 @@ def hll(spark, sf):
     return parts
 
 
+@query("SELECT row_number() OVER (ORDER BY n_name, n_nationkey) - 1 AS idx, n_name AS value FROM nation")
+def gather(spark, sf):
+    rows = actions.gather(ordered(table(spark, sf, "nation").select("n_name", "n_nationkey"), "n_name", "n_nationkey"))
+    return spark.createDataFrame([(i, r.n_name) for i, r in enumerate(rows)], "idx bigint, value string")
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS idx, n_name FROM nation) ON idx = c_nationkey")
+def all_gather(spark, sf):
+    every = actions.all_gather(_names(spark, sf), "n_name")
+    return table(spark, sf, "customer").crossJoin(every).select("c_custkey", F.get("items", F.col("c_nationkey").cast("int"))["n_name"].alias("n_name"))
+
+
 # Joins
 
 
@@ -326,6 +389,11 @@ def zip(spark, sf):  # noqa: A001
     return zips.zip_frames([_by_id(spark, sf), _by_ts(spark, sf)]).df
 
 
+@query(f"SELECT event_id, {CENTS} AS v, upper(event_type) AS kind FROM events")
+def zip_aligned(spark, sf):
+    return zips.zip_aligned(events(spark, sf), {"v": cents()}, {"kind": F.upper("event_type")}).df
+
+
 @query(f"SELECT idx, a, b, c FROM ({BY_ID}) JOIN ({BY_TS}) USING (idx) JOIN ({BY_USER}) USING (idx)")
 def zip_three(spark, sf):
     third = ordered(events(spark, sf).df.select("user_id", "event_id", F.col("user_id").alias("c")), "user_id", "event_id")

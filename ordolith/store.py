@@ -29,4 +29,14 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 def stored(df: DataFrame, what: str) -> DataFrame:
     at = fresh_path(df.sparkSession, what)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    back = df.sparkSession.read.schema(df.schema).parquet(at)
+    back.stored_at = at
+    return back
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """Delete the files of frames from ``stored`` that nothing reads any more."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)

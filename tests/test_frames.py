@@ -7,7 +7,7 @@ import pytest
 from ordolith.algorithms import graphs, learning, strings
 from ordolith.frame import estimated_bytes, ordered
 from ordolith.functions.text import run_lengths
-from ordolith.operators import actions, arrange, joins, keyed, local, scans, windows, zips
+from ordolith.operators import actions, arrange, joins, keep, keyed, local, scans, windows, zips
 from ordolith.sources import arrays, files
 from pyspark.sql import functions as F
 
@@ -262,3 +262,44 @@ def test_generators_count_as_large(spark):
 def test_cached_frames_are_computed_once(spark):
     f = ordered(spark.range(100).withColumn("r", F.rand()), "id").cached()
     assert f.df.collect() == f.df.collect() and "Rand" not in f.df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cached_frames_are_kept_until_disposed_of(spark):
+    f = keep.cache(frame(spark, parts=3))
+    assert keep.cache(f) is f
+    assert values(f, "k") == list(range(83)) and values(f, "k") == list(range(83))
+    keep.execute(f, frame(spark))
+    with pytest.raises(ValueError):
+        keep.dispose(frame(spark))
+    keep.dispose(f)
+    with pytest.raises(Exception):
+        f.df.collect()
+    failing = local.map_rows(frame(spark), "k", F.raise_error(F.lit("run")).alias("v"))
+    with pytest.raises(Exception, match="run"):
+        keep.execute(failing)
+    assert keep.cache(ordered(f.df.sparkSession.createDataFrame([], "k bigint"), "k")).df.count() == 0
+
+
+def test_aligned_zip_shuffles_nothing(spark):
+    f = frame(spark, parts=5).cached()
+    z = zips.zip_aligned(f, {"twice": F.col("v") * 2}, {"big": F.upper("s")})
+    assert "Exchange" not in z.df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in z.sorted().collect()] == [(k, None if v is None else 2 * v, s.upper()) for k, v, s in ROWS]
+    with pytest.raises(ValueError):
+        zips.zip_aligned(f, {"x": F.col("v")}, {"x": F.col("k")})
+    with pytest.raises(ValueError):
+        zips.zip_aligned(f, {"k": F.col("v")})
+
+
+def test_gathered_and_printed_frames_are_in_order(spark):
+    import io
+
+    f = frame(spark, parts=5)
+    items = actions.all_gather(f, "v").first()["items"]
+    assert [(r.k, r.v) for r in items] == [(k, v) for k, v, _ in ROWS]
+    with pytest.raises(ValueError):
+        actions.all_gather(f, "v", most=82)
+    assert actions.all_gather(ordered(frame(spark).df.limit(0), "k"), "v").first()["items"] == []
+    out = io.StringIO()
+    actions.print_frame(frame(spark, ROWS[:3], 2), "three", out)
+    assert out.getvalue().splitlines() == ["-- three: begin", *(f"[{k}] {k} {v} {s}" for k, v, s in ROWS[:3]), "-- three: end"]
