@@ -264,6 +264,8 @@ CELL = 2048
 def against_pivots(members: DataFrame, pivots: DataFrame, least: float, similarity: float, ratio: float = 0.0) -> DataFrame:
     """Each member of a large branch and, as ``bs``, one pivot of each group of linked pivots that it may be similar to.
 
+    Groups that a member of the cell has linked are one group to the members after it, so a cell's links span what has met
+    and are fewer than its members and pivots together, however many groups each member is near to.
     Both have (id, node, n, sig, k); a branch's members are dealt to k cells and its pivots to each of them, where they
     come first. main: it may be similar to one of the branch's main pivots, the largest group of pivots that are linked with each
     other, so all main members are in one cluster. settled: it is so near to a main pivot that whatever may be linked
@@ -292,15 +294,18 @@ def against_pivots(members: DataFrame, pivots: DataFrame, least: float, similari
                     order = np.argsort(names)
                     names, size, p = names[order], size[order], p[order]
                     root = linked(close(p, p, size, size, least, ratio))
-                    ready = names, size, p, root, root == np.bincount(root).argmax()
-                names, size, p, root, is_main = ready
+                    ready = names, size, p, root, root == np.bincount(root).argmax(), Union(len(names))
+                names, size, p, root, is_main, met = ready
                 for at in range(lo, hi, 1024):
                     part = slice(at, min(at + 1024, hi))
                     near, est = close(sig[part], p, n[part].astype(float), size, least, ratio, True)
                     main[part] = (near & is_main).any(1)
                     settled[part] = (near & is_main & (est >= sure)).any(1)
                     for i, hit in enumerate(near, at):
-                        bs[i] = [b for b in names[np.unique(root[hit])].tolist() if b != ids[i]] if hit.any() else []
+                        groups = sorted({met.find(g) for g in np.unique(root[hit]).tolist()})
+                        bs[i] = [b for b in names[groups].tolist() if b != ids[i]]
+                        for g in groups[1:]:
+                            met.join(groups[0], g)
             mine = np.flatnonzero(member)
             if len(mine):
                 kept = batch.take(pa.array(mine))

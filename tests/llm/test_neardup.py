@@ -183,3 +183,15 @@ def test_pairs_stay_together_in_deep_branches(spark):
     reps = stored(spark.createDataFrame(rows, "id bigint, n bigint, sig binary, nodes array<bigint>"), "reps")
     comp = {r.id: r.component for r in components(neardup.candidates(reps, 0.85, small=4, pivots=2)).collect()}
     assert [comp.get(2000 * g, -1) == comp.get(2000 * g + 1, -2) for g in range(6)] == [True] * 6
+
+
+def test_members_near_many_groups_span_them_once(spark):
+    """Sixteen pivots that share no token, 200 members near all of them: one link a member and one for each group that it
+    brings together, not one for each pair of a member and a group."""
+    pivots = [(j, 7, 100, bytes([j + 1] * neardup.TOKENS), 1) for j in range(16)]
+    members = [(100 + i, 7, 100, bytes(t % 16 + 1 for t in range(neardup.TOKENS)), 1) for i in range(200)]
+    schema = "id bigint, node bigint, n bigint, sig binary, k bigint"
+    met = neardup.against_pivots(spark.createDataFrame(members, schema), spark.createDataFrame(pivots, schema), 0.05, 0.85)
+    links = met.selectExpr("a", "explode(bs) as b")
+    assert links.count() == 200 + 15
+    assert {(r.id, r.component) for r in components(links).collect()} == {(i, 0) for i in [*range(16), *range(100, 300)]}
