@@ -1,12 +1,13 @@
 """Operator 10: quality rules with an isolation forest over rule statistics.
 
 Every document gets rule statistics over its whole text. An isolation forest (random splits, each tree on a random
-subsample) is fitted on half of the rows labelled good; short average path lengths mark documents unlike those. The
+share) is fitted on half of the rows labelled good; short average path lengths mark documents unlike those. The
 threshold is calibrated on the other labelled rows: of all thresholds that reject at most ``max_loss`` of their good
 ones, the one with the least sum of error rates.
 
-The fit reads a bounded sample of labelled rows (``fit_rows``, those with the smallest hash of their id); statistics
-and verdicts cover every document.
+All labelled rows that pass the base rules are used: each good one of the first half grows a tree at least, and each of the
+others counts for the threshold. Statistics and verdicts cover every document. Only a caller who names ``fit_rows`` fits
+on a sample, the rows with the smallest hash of their id.
 
 Nulls: a null text has no words, so it fails the base rules. Null labels are not used. Without labelled rows of
 either kind there is no threshold and the base rules alone decide. Verdicts are by text, so rows that share an id, or
@@ -36,6 +37,10 @@ FEATURES = {"symbols a word": 1.0, "capitals share": 0.3, "word length": 6.0, "r
 
 #: Good labelled rows from which on the forest and its threshold use different ones.
 FEW = 40
+#: Trees of the forest, and the rows that each grows on where there are as many; beyond TREES * SHARE rows shares grow.
+TREES, SHARE = 128, 256
+#: Rows up to which the threshold is searched in the driver.
+AT_ONCE = 20_000
 
 
 def repeat_words(h: np.ndarray, k: int = 5) -> int:
@@ -104,11 +109,11 @@ class Forest:
     node's rows widened by ``steps``; what lies beyond all rows then ends in an empty leaf, on a short path.
     """
 
-    def __init__(self, x: np.ndarray, steps: np.ndarray, trees: int = 128, sample: int = 256, seed: int = 1):
+    def __init__(self, x: np.ndarray, steps: np.ndarray, trees: int = TREES, sample: int = SHARE, seed: int | tuple = 1, depth: int | None = None):
         rng = np.random.default_rng(seed)
         self.steps = np.asarray(steps, float)
         n = min(sample, len(x))
-        self.depth = max(1, int(np.ceil(np.log2(max(2, n)))))
+        self.depth = depth or depth_of(n)
         nodes = 2 ** (self.depth + 1)
         self.feature = np.zeros((trees, nodes), np.int16)
         self.split = np.full((trees, nodes), np.inf, np.float32)
@@ -134,6 +139,14 @@ class Forest:
         self.grow(t, 2 * node, x[left], depth + 1, rng)
         self.grow(t, 2 * node + 1, x[~left], depth + 1, rng)
 
+    @classmethod
+    def joined(cls, feature: np.ndarray, split: np.ndarray, length: np.ndarray, norms: np.ndarray) -> Forest:
+        """One forest of trees that have grown apart, to the same depth."""
+        forest = cls.__new__(cls)
+        forest.feature, forest.split, forest.length = feature, split, length
+        forest.depth, forest.norm = feature.shape[1].bit_length() - 2, float(norms.mean())
+        return forest
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (- mean path / expected path): near 1 for anomalies, about a half or less for the usual."""
         x, total = np.asarray(x, np.float32), np.zeros(len(x), np.float64)
@@ -146,6 +159,10 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / self.norm)
 
 
+def depth_of(n: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(2, n)))))
+
+
 def expected_path(n: np.ndarray) -> np.ndarray:
     """Mean path length of an unsuccessful search in a binary tree of n rows."""
     n = n.astype(float)
@@ -163,6 +180,10 @@ def calibrate(score: np.ndarray, good: np.ndarray, max_loss: float) -> float:
     cut = np.append((cut[:-1] + cut[1:]) / 2, cut[-1])
     lost = 1 - np.searchsorted(np.sort(score[good]), cut, side="right") / good.sum()
     kept = np.searchsorted(np.sort(score[~good]), cut, side="right") / (~good).sum()
+    return least_cost(cut, lost, kept, max_loss)
+
+
+def least_cost(cut: np.ndarray, lost: np.ndarray, kept: np.ndarray, max_loss: float) -> float:
     cost = np.where(lost <= max_loss, lost + kept, np.inf)
     best = np.flatnonzero(cost == cost.min())
     return float(cut[best[len(best) // 2]])
@@ -188,28 +209,108 @@ def sample_rows(labelled: DataFrame, n: int) -> DataFrame:
     return rows.where(F.col("place") < end).orderBy("place", "doc_id", "tie").limit(n)
 
 
-def fit_forest(stats: DataFrame, labels: DataFrame, *, fit_rows: int = 20_000, max_loss: float = 0.002) -> tuple[Forest, float] | None:
-    """Forest and threshold from at most ``fit_rows`` labelled rows that pass the base rules.
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """(tree, features): each of the ``n`` rows in one tree at least, in as many as fill the trees' shares."""
+    copies = min(TREES, -(-TREES * SHARE // n))
+    h = F.xxhash64("doc_id", "tie", F.lit(5))
+    # an odd step: all trees of a row differ
+    tree = F.pmod(F.pmod(h, F.lit(TREES)) + F.col("j") * (2 * F.pmod(F.shiftright(h, 20), F.lit(TREES // 2)) + 1), F.lit(TREES))
+    return rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint")))).select(tree.alias("tree"), "features")
+
+
+def grow_forest(rows: DataFrame, n: int) -> Forest:
+    """A forest from all ``n`` rows (doc_id, tie, features); a task holds a tree's share, 28 bytes a row."""
+    depth, steps = depth_of(min(n, SHARE)), list(FEATURES.values())
+    schema = "tree bigint, feature binary, split binary, length binary, norm double"
+    out = arrow_schema(rows.sparkSession, schema)
+
+    def grow(share: pa.Table) -> pa.Table:
+        tree = share.column(0)[0].as_py()
+        x = share.column(1).combine_chunks().flatten().to_numpy().reshape(share.num_rows, -1)
+        f = Forest(x, steps, trees=1, sample=len(x), seed=(1, tree), depth=depth)
+        return pa.table([[v] for v in (tree, f.feature.tobytes(), f.split.tobytes(), f.length.tobytes(), f.norm)], schema=out)
+
+    trees = sorted(dealt(rows, n).groupBy("tree").applyInArrow(grow, schema).collect())
+    flat = lambda name, t: np.frombuffer(b"".join(r[name] for r in trees), t).reshape(len(trees), -1)
+    return Forest.joined(flat("feature", np.int16), flat("split", np.float32), flat("length", np.float32), np.array([r.norm for r in trees]))
+
+
+def find_threshold(scores: DataFrame, n: int, max_loss: float) -> float:
+    """``calibrate`` over all ``n`` rows of a stored frame (score, good).
+
+    Beyond ``AT_ONCE`` rows the driver reads only the scores of the good rows that may be lost, a share ``max_loss`` of
+    them; the least cost is just above one of those, and one pass over all rows counts what lies between them.
+    """
+    if n <= AT_ONCE:
+        rows = scores.toPandas()
+        return calibrate(rows.score.to_numpy(float), rows.good.to_numpy(bool), max_loss)
+    good, bad = scores.agg(F.sum(F.col("good").cast("bigint")), F.sum((~F.col("good")).cast("bigint"))).first()
+    if not good or not bad:
+        return np.inf
+    need, at_least, inside = int(max_loss * good) + 3, 0.0, F.lit(True)
+    for bits in (12, 24):
+        span = F.floor(F.col("score") * (1 << bits))
+        for r in sorted(scores.where("good").where(inside).groupBy(span.alias("span")).agg(F.count("*").alias("n")).collect(), reverse=True):
+            at_least, last = r.span / (1 << bits), r.span
+            if r.n >= need:
+                break
+            need -= r.n
+        inside = span == last
+    able = np.array(sorted(r.score for r in scores.where("good").where(F.col("score") >= at_least).select("score").distinct().collect()))
+    out = arrow_schema(scores.sparkSession, "place bigint, good bigint, bad bigint, least double")
+
+    def run(batches):
+        for batch in batches:
+            score, is_good = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            place, at = np.unique(np.searchsorted(able, score), return_inverse=True)  # able scores below
+            least = np.full(len(place), np.inf)
+            np.minimum.at(least, at, score)
+            g = np.bincount(at[is_good], minlength=len(place))
+            yield pa.record_batch([pa.array(place), pa.array(g), pa.array(np.bincount(at, minlength=len(place)) - g), pa.array(least)], schema=out)
+
+    places = scores.mapInArrow(run, "place bigint, good bigint, bad bigint, least double").groupBy("place").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.min("least").alias("least")).toPandas()
+    up_to, beyond = np.zeros((2, len(able) + 1)), np.append(able, able[-1])
+    up_to[:, places.place] = places.good, places.bad
+    beyond[places.place] = places.least  # the least score above the one before
+    up_to = up_to.cumsum(1)[:, :-1]
+    return least_cost((able + beyond[1:]) / 2, 1 - up_to[0] / good, up_to[1] / bad, max_loss)
+
+
+def fit_forest(stats: DataFrame, labels: DataFrame, *, fit_rows: int | None = None, max_loss: float = 0.002) -> tuple[Forest, float] | None:
+    """Forest and threshold from all labelled rows that pass the base rules, or from ``fit_rows`` of them.
 
     Trees are grown on one half of the good rows; the threshold is found on rows that no tree has seen, the other half
     of the good ones and all others. With fewer than ``FEW`` good rows both use all of them.
     """
     label = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = sample_rows(stats.where(~base_failed()).join(label, "doc_id"), fit_rows).select("features", "quality", (F.col("place") % 2).alias("half")).toPandas()
-    if not len(rows) or not (rows.quality > 0).any():
+    rows = stats.where(~base_failed()).join(label, "doc_id")
+    if fit_rows is not None:
+        rows = sample_rows(rows, fit_rows)
+    good, even = F.col("quality") > 0, F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    rows = stored(rows.select("doc_id", "tie", "features", good.alias("good"), (good & even).alias("grown")), "labelled-rows")
+    n, n_good, n_grown = rows.agg(F.count("*"), F.sum(F.col("good").cast("bigint")), F.sum(F.col("grown").cast("bigint"))).first()
+    if not n_good:
         return None
-    x, good = np.array(rows.features.tolist(), np.float32), (rows.quality > 0).to_numpy()
-    grown = good & (rows.half.to_numpy() == 0)
-    seen = grown if good.sum() >= FEW and grown.any() and not grown[good].all() else np.zeros(len(good), bool)
-    forest = Forest(x[grown if seen.any() else good], list(FEATURES.values()))
-    return forest, calibrate(forest.score(x[~seen]), good[~seen], max_loss)
+    apart = n_good >= FEW and 0 < n_grown < n_good
+    forest = grow_forest(rows.where("grown" if apart else "good"), n_grown if apart else n_good)
+    out = arrow_schema(rows.sparkSession, "score double, good boolean")
+    model = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield pa.record_batch([pa.array(model.value.score(x) if len(x) else np.empty(0)), batch.column(1)], schema=out)
+
+    left = rows.where("not grown") if apart else rows
+    scores = stored(left.select("features", "good").mapInArrow(run, "score double, good boolean"), "scores")
+    return forest, find_threshold(scores, n - n_grown if apart else n, max_loss)
 
 
 def base_failed() -> F.Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 20_000, max_loss: float = 0.002) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_rows: int | None = None, max_loss: float = 0.002) -> DataFrame:
     """doc_id, tie (the text's key), the statistics, base_failed, anomaly (double), kept."""
     stats = stored(document_statistics(docs, id_col=id_col, text_col=text_col), "quality-stats")
     fitted = fit_forest(stats, labels, fit_rows=fit_rows, max_loss=max_loss)

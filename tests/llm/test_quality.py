@@ -103,3 +103,30 @@ def test_the_sample_holds_the_smallest_hashes(spark):
         got = [(r.place, r.doc_id, r.tie) for r in quality.sample_rows(df, n).collect()]
         assert got == best[:n]
     assert quality.sample_rows(df.limit(0), 5).count() == 0
+
+
+def test_all_labelled_rows_are_used(spark, monkeypatch):
+    """25 000 labelled rows, more than a sample of 20 000 would hold: all grow a tree or count for the threshold."""
+    grown, counted = [], []
+    deal, calibrate = quality.dealt, quality.calibrate
+    monkeypatch.setattr(quality, "AT_ONCE", 1 << 20)
+    monkeypatch.setattr(quality, "dealt", lambda rows, n: grown.append((n, rows.count(), deal(rows.select("doc_id", "tie", rows.doc_id.alias("features")), n).select("features").distinct().count())) or deal(rows, n))
+    monkeypatch.setattr(quality, "calibrate", lambda score, good, loss: counted.append((len(good), int(good.sum()))) or calibrate(score, good, loss))
+    stats = spark.range(25_000).selectExpr("id as doc_id", "id as tie", "50L as n_words", "0L as n_repeat_words", "transform(sequence(1, 7), k -> cast(pmod(xxhash64(id, k), 100) / 100 + if(id % 5 = 0, 9, 0) as float)) as features")
+    labels = spark.range(25_000).selectExpr("id as doc_id", "int(id % 5 > 0) as quality")
+    forest, limit = quality.fit_forest(stats, labels)
+    (n, rows, different), (left, good) = grown[0], counted[0]
+    assert n == rows == different and left == 25_000 - n and good == 20_000 - n and 9_000 < n < 11_000
+    assert len(forest.feature) == quality.TREES
+    x = np.random.default_rng(3).random((100, 7))
+    assert (forest.score(x) <= limit).all() and (forest.score(x + 9) > limit).all()
+
+
+def test_the_threshold_of_large_tables_is_that_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "AT_ONCE", 0)
+    rng = np.random.default_rng(5)
+    for case, (n, share, digits, loss) in enumerate([(3000, 0.7, 3, 0.01), (3000, 0.7, 9, 0.002), (400, 0.2, 2, 0.1), (300, 0.9, 9, 0.0), (50, 0.5, 1, 0.3), (40, 1.0, 3, 0.1)]):
+        good = rng.random(n) < share
+        score = np.round(np.clip(rng.normal(np.where(good, 0.4, 0.6), 0.1), 0.01, 1), digits)
+        df = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(score, good)], "score double, good boolean").repartition(3)
+        assert quality.find_threshold(df, n, loss) == quality.calibrate(score, good, loss), case
