@@ -157,3 +157,73 @@ def test_rare_words_meet_by_a_join(spark, monkeypatch):
     whole = sorted(map(key, lm.score_documents(df, path).collect()))
     monkeypatch.setattr(lm, "HOT_BITS", 6)
     assert sorted(map(key, lm.score_documents(df, path).collect())) == whole
+
+
+def all_segmentations(s, lattice):
+    """(probability, pieces) of each; a byte is the empty piece."""
+    if not s:
+        yield 1.0, []
+        return
+    for p, w in lattice.pieces.items():
+        if s.startswith(p):
+            yield from ((math.exp(w) * q, [p, *rest]) for q, rest in all_segmentations(s[len(p) :], lattice))
+    if s[0] not in lattice.pieces:
+        k = len(s[0].encode())
+        yield from ((math.exp(k * lattice.byte) * q, [""] * k + rest) for q, rest in all_segmentations(s[1:], lattice))
+
+
+def test_expected_pieces_are_means_over_all_segmentations():
+    lattice = lm.Lattice({p: math.log(q) for p, q in {"▁": 0.1, "a": 0.2, "b": 0.1, "ab": 0.15, "▁a": 0.05, "aba": 0.02, "bab": 0.01}.items()}, math.log(1e-4), math.log(0.1))
+    for word in ("a", "abab", "aébab", "", "bbbab"):
+        found, z = Counter(), 0.0
+        for q, pieces in all_segmentations("▁" + word, lattice):
+            z += q
+            for p in pieces:
+                found[p] += q
+        got = Counter()
+        lattice.add_expected(word, got)
+        assert set(got) == set(found) and all(math.isclose(got[p], found[p] / z, rel_tol=1e-9) for p in got)
+    for word in ("ab" * 4000, "c" * 9000):  # smaller than any double
+        got = Counter()
+        lattice.add_expected(word, got)
+        assert math.isclose(sum(len(p) * n for p, n in got.items()) + got[""], 1 + len(word), rel_tol=1e-7)  # differences of logs near -83 000
+    before = lm.Lattice(lattice.pieces, math.log((0.9 - sum(map(math.exp, lattice.pieces.values()))) / 256), lattice.end)
+    after = before.learned({"ab": 5.0, "": 1.0})
+    assert math.isclose(sum(map(math.exp, after.pieces.values())) + 256 * math.exp(after.byte) + math.exp(after.end), 1.0)
+    assert after.pieces["ab"] > before.pieces["ab"] and after.pieces["bab"] < before.pieces["bab"]
+
+
+def test_learned_scores_of_held_out_rows_come_near_the_base(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = lm.op3_lm_scoring(spark, SF).collect()
+    assert len(rows) == docs.count() and all(r.score is not None and math.isfinite(r.score) and r.score < 0 for r in rows)
+    known = [r for r in rows if r.held_out and r.n_known > 0.9 * r.n_tokens]
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score for r in held) > 1.4 * sum(r.base_score for r in held)
+    assert all(r.score > 1.3 * r.base_score for r in known)
+
+
+def test_learned_scores_are_a_discounted_count_and_a_lattice(spark):
+    texts = {1: "The cat sat on the mat", 2: "the dog, the cat\x1fé", 3: None, 4: "", 5: "unseen words here", 6: "ж" * 9000, 10: "cat ÉÉ the"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumn("held_out", langid.held_out("doc_id", 7, 2))
+    path = tokenizer_path(lm.PIECES_FILE)
+    tokens = lambda t: (t or "").encode().lower().split() + [b""]
+    train = Counter(w for i, t in texts.items() if remainder(i, 7) != 2 for w in tokens(t))
+    n, v = sum(train.values()), len(train)
+    once, twice = (sum(c == k for c in train.values()) for k in (1, 2))
+    d = (once + 1) / (once + 2 * twice + 2)
+    first = lm.Lattice.existing(path, (train[b""] + 1) / (n + 2))
+    expected = Counter()
+    for w in train:
+        if w:
+            first.add_expected(w.decode(), expected)
+    lattice = first.learned(expected)
+
+    def log10_p(w):
+        log_p = lattice.log_p(w.decode()) if w else lattice.end
+        return math.log10((train[w] - d) / n + d * v / n * math.exp(log_p)) if train[w] else math.log10(d * v / n) + log_p / math.log(10)
+
+    for r in lm.score_documents(df, path, learned=True).collect():
+        assert math.isclose(r.score, sum(map(log10_p, tokens(texts[r.doc_id]))), rel_tol=1e-9)
+    for rows in (df.limit(0), df.where("doc_id = 4").withColumn("held_out", lm.F.lit(True)), df.withColumn("held_out", lm.F.lit(True)), df.where("doc_id = 4").withColumn("held_out", lm.F.lit(False))):
+        assert all(math.isfinite(r.score) for r in lm.score_documents(rows, path, learned=True).collect())
