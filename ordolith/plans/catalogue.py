@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..algorithms import graphs, learning, selection, strings
 from ..frame import OrderedFrame, ordered
-from ..functions.text import lines, run_lengths, words
+from ..functions.text import line_number, run_lengths, words
 from ..functions.vectors import doubles
 from ..operators import actions, arrange, joins, keep, keyed, local, scans, windows, zips
 from ..sources import arrays, files
@@ -561,7 +561,7 @@ def word_count(spark, sf):
 
 @query(r"SELECT CAST(sum(len(string_split(text, chr(10)))) - sum(CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END) AS BIGINT) AS lines FROM documents")
 def line_count(spark, sf):
-    return table(spark, sf, "documents").agg(F.sum(F.size(lines(F.col("text"))).cast("bigint")).alias("lines"))
+    return table(spark, sf, "documents").agg(F.sum(line_number(F.col("text")).cast("bigint")).alias("lines"))
 
 
 def _edges(spark, sf):

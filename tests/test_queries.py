@@ -54,6 +54,14 @@ def test_indexes_hold_every_user(spark, tmp_path):
     assert {k: v for k, v in last.items() if v != -1} == {0: 150, 200: 200, 201: 300, 5000: -600}
 
 
+def test_lines_of_empty_texts(spark, tmp_path):
+    texts = ["", None, "\n", "a", "a\n", "\n\n", "a\n\nb", "\r\n", "é\n"]
+    spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(catalogue.ORACLE_SQL["line_count"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")).fetchall()
+    assert want == [(11,)]
+    assert [tuple(r) for r in catalogue.QUERIES["line_count"](spark, str(tmp_path)).collect()] == want
+
+
 def test_queries_without_sql(spark):
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"bernoulli_random", "sample", "bisecting_kmeans", "lcp", "bfs_trees", "zipf_graph"}
     events = spark.read.parquet(f"{SF}/events.parquet")
