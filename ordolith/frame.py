@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .store import stored
 
 #: Plans whose estimated size is at most this many bytes are indexed or scanned by one task; larger ones in two levels.
-ONE_TASK_BYTES = 64 << 20
+#: The estimate is that of compressed files, and one task holds the rows of all sides of a zip, so it is kept small.
+ONE_TASK_BYTES = 4 << 20
 #: Rows in a bucket of the two-level plans.
 BUCKET_ROWS = 1 << 18
 

@@ -303,3 +303,15 @@ def test_gathered_and_printed_frames_are_in_order(spark):
     out = io.StringIO()
     actions.print_frame(frame(spark, ROWS[:3], 2), "three", out)
     assert out.getvalue().splitlines() == ["-- three: begin", *(f"[{k}] {k} {v} {s}" for k, v, s in ROWS[:3]), "-- three: end"]
+
+
+def test_no_task_of_a_zip_gets_all_rows(spark):
+    n = 600_000
+    a = ordered(spark.range(n).select("id", (F.col("id") * 2).alias("a")), "id")
+    b = ordered(spark.range(n).select("id", (F.col("id") + 5).alias("b")), "-id")
+    c = ordered(spark.range(n).select("id", F.col("id").alias("c")), "id")
+    assert 16 << 20 > estimated_bytes(a.df) > 4 << 20
+    for frames in ([(a, ["a"]), (b, ["b"])], [(a, ["a"]), (b, ["b"]), (c, ["c"])]):
+        parts = zips.zip_frames(frames).df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.count_if(F.expr("a = 2 * idx and b = 599999 - idx + 5")).alias("right")).collect()
+        assert sum(r.n for r in parts) == sum(r.right for r in parts) == n
+        assert max(r.n for r in parts) < n / 2
